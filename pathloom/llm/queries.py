@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing, sharding
 from .common import table
 
 
@@ -10,10 +10,21 @@ def op3_mix_sources(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op4_shard_documents(spark, sf_dir):
+    return sharding.placed(table(spark, sf_dir, "documents"))
+
+
+def op7_format_chats(spark, sf_dir):
+    return chat.digested(chat.with_tricky(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_shard_documents": op4_shard_documents,
+    "op7_format_chats": op7_format_chats,
 }
 
 ORACLE_SQL = {
     "op3_mix_sources": mixing.ORACLE,
+    "op7_format_chats": chat.ORACLE,
 }
