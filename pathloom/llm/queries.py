@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import chat, mixing, secrets, sharding
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op4_shard_documents(spark, sf_dir):
     return sharding.placed(table(spark, sf_dir, "documents"))
 
 
+def op5_scan_secrets(spark, sf_dir):
+    return secrets.digested(table(spark, sf_dir, "documents"))
+
+
 def op7_format_chats(spark, sf_dir):
     return chat.digested(chat.with_tricky(table(spark, sf_dir, "conversations")))
 
@@ -21,6 +25,7 @@ def op7_format_chats(spark, sf_dir):
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_shard_documents": op4_shard_documents,
+    "op5_scan_secrets": op5_scan_secrets,
     "op7_format_chats": op7_format_chats,
 }
 
