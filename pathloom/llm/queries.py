@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, secrets, sharding
+from . import chat, mixing, secrets, sharding, urlfilter
 from .common import table
 
 
+def op1_filter_urls(spark, sf_dir):
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op7_format_chats(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_filter_urls": op1_filter_urls,
     "op3_mix_sources": op3_mix_sources,
     "op4_shard_documents": op4_shard_documents,
     "op5_scan_secrets": op5_scan_secrets,
@@ -30,6 +35,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_filter_urls": urlfilter.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op7_format_chats": chat.ORACLE,
 }
