@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, secrets, sharding, urlfilter
+from . import chat, mixing, secrets, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -10,6 +10,10 @@ def op1_filter_urls(spark, sf_dir):
     return urlfilter.judged(table(spark, sf_dir, "pages"))
 
 
+def op2_score_toxicity(spark, sf_dir):
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_mix_sources(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op7_format_chats(spark, sf_dir):
 
 QUERIES = {
     "op1_filter_urls": op1_filter_urls,
+    "op2_score_toxicity": op2_score_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op4_shard_documents": op4_shard_documents,
     "op5_scan_secrets": op5_scan_secrets,
