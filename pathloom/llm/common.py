@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +78,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     roots = links.select("v").distinct().select(F.col("v").alias("u"), "v")
     return links.union(roots).groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+
+
+def rooted(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For 0..n-1 the smallest number that the pairs connect it with."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Runs of equal keys, from batches sorted by them."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        change = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+        at = np.flatnonzero(change)
+        pieces = [batch.iloc[a:b] for a, b in zip(at, [*at[1:], len(batch)], strict=True)]
+        for piece in pieces:
+            if held and (held[-1][keys].iloc[-1] != piece[keys].iloc[0]).any():
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(piece)
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, secrets, sharding, toxicity, urlfilter
+from . import chat, jaccard, mixing, secrets, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_format_chats(spark, sf_dir):
     return chat.digested(chat.with_tricky(table(spark, sf_dir, "conversations")))
 
 
+def op8_join_ngrams(spark, sf_dir):
+    return jaccard.links(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_filter_urls": op1_filter_urls,
     "op2_score_toxicity": op2_score_toxicity,
@@ -37,10 +41,12 @@ QUERIES = {
     "op4_shard_documents": op4_shard_documents,
     "op5_scan_secrets": op5_scan_secrets,
     "op7_format_chats": op7_format_chats,
+    "op8_join_ngrams": op8_join_ngrams,
 }
 
 ORACLE_SQL = {
     "op1_filter_urls": urlfilter.ORACLE,
     "op3_mix_sources": mixing.ORACLE,
     "op7_format_chats": chat.ORACLE,
+    "op8_join_ngrams": jaccard.ORACLE,
 }
