@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, secrets, sharding, toxicity, urlfilter
+from . import chat, jaccard, mixing, neardup, secrets, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_scan_secrets(spark, sf_dir):
     return secrets.digested(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark, sf_dir):
+    return neardup.joined(table(spark, sf_dir, "embeddings"))
+
+
 def op7_format_chats(spark, sf_dir):
     return chat.digested(chat.with_tricky(table(spark, sf_dir, "conversations")))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_shard_documents": op4_shard_documents,
     "op5_scan_secrets": op5_scan_secrets,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_format_chats": op7_format_chats,
     "op8_join_ngrams": op8_join_ngrams,
 }
