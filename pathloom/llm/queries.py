@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, neardup, secrets, sharding, toxicity, urlfilter
+from . import chat, contamination, jaccard, mixing, neardup, secrets, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op8_join_ngrams(spark, sf_dir):
     return jaccard.links(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_filter_urls": op1_filter_urls,
     "op2_score_toxicity": op2_score_toxicity,
@@ -47,6 +51,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_format_chats": op7_format_chats,
     "op8_join_ngrams": op8_join_ngrams,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL = {
