@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, jaccard, mixing, neardup, secrets, sharding, toxicity, urlfilter
+from . import chat, contamination, jaccard, lm, mixing, neardup, secrets, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op10_decontaminate(spark, sf_dir):
     return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_score_lm(spark, sf_dir):
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_filter_urls": op1_filter_urls,
     "op2_score_toxicity": op2_score_toxicity,
@@ -51,6 +55,7 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_format_chats": op7_format_chats,
     "op8_join_ngrams": op8_join_ngrams,
+    "op9_score_lm": op9_score_lm,
     "op10_decontaminate": op10_decontaminate,
 }
 
