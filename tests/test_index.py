@@ -1,0 +1,268 @@
+"""Archives, the index on disk, configuration, refresh and the stream."""
+
+import bz2
+import gzip
+import http.server
+import io
+import lzma
+import os
+import tarfile
+import threading
+import time
+
+import pyarrow as pa
+import pytest
+
+from pathloom import cli
+from pathloom.operators import inspection, search
+from pathloom.plans import catalog, refresh
+from pathloom.plans.catalog import FileIndex
+from pathloom.sources import mirrors
+from pathloom.sources.archives import archive_files, read_archives
+from pathloom.sources.config import Config, load_config
+from pathloom.streaming.sync import Sync
+
+from .conftest import TESTING, archive
+
+SMALL = {("pkg-a", "1-1"): ["usr/", "usr/bin/", "usr/bin/a"], ("pkg-b", "2-1"): ["usr/", "usr/bin/", "usr/bin/b"]}
+
+
+def names(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def cpio(packages, octal=False):
+    out = b""
+    for (name, version), paths in [*packages.items(), (("TRAILER!!!", ""), [])]:
+        member = (f"{name}-{version}/files" if version else name).encode() + b"\0"
+        data = b"" if not version else "\n".join(["%FILES%", *paths, ""]).encode()
+        if octal:
+            out += b"070707" + b"0" * 53 + b"%06o%011o" % (len(member), len(data)) + member + data
+        else:
+            fields = [0] * 13
+            fields[6], fields[11] = len(data), len(member)
+            head = b"070701" + b"".join(b"%08x" % f for f in fields)
+            out += head + member + b"\0" * (-(len(head) + len(member)) % 4) + data + b"\0" * (-len(data) % 4)
+    return out
+
+
+def test_every_format(spark, tmp_path):
+    archive(tmp_path / "plain.files", SMALL, "w")
+    raw = (tmp_path / "plain.files").read_bytes()
+    for name, data in {"gz": gzip.compress(raw), "bz2": bz2.compress(raw), "xz": lzma.compress(raw), "cpio": cpio(SMALL), "odc": gzip.compress(cpio(SMALL, True))}.items():
+        (tmp_path / f"{name}.files").write_bytes(data)
+    for codec in ("zstd", "lz4"):
+        buffer = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(buffer, codec) as out:
+            out.write(raw)
+        (tmp_path / f"{codec}.files").write_bytes(buffer.getvalue().to_pybytes())
+    got = read_archives(spark, str(tmp_path))
+    per_repo = {}
+    for repo, *row in names(got.select("repo", "pkg", "version", "file_ord", "path", "is_dir", "basename")):
+        per_repo.setdefault(repo, []).append(row)
+    assert set(per_repo) == {"plain", "gz", "bz2", "xz", "cpio", "odc", "zstd", "lz4"}
+    assert all(rows == per_repo["plain"] for rows in per_repo.values())
+    assert per_repo["plain"][0] == ["pkg-a", "1-1", 0, "/usr/", True, "usr"]
+
+
+def test_odd_archives(spark, tmp_path):
+    with tarfile.open(tmp_path / "odd.files", "w") as tar:
+        for name, body in {"nohyphen/files": b"%FILES%\nx\n", "one-1/files": b"%FILES%\nx\n", "a-b-1-2/files": b"%FILES%\nusr/\n\nusr/x\nusr/x\ndropped", "c-1-1/other": b"%FILES%\nx\n"}.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            tar.addfile(info, io.BytesIO(body))
+    (tmp_path / "broken.files").write_bytes(b"\x1f\x8bnot gzip")
+    (tmp_path / "other.txt").write_bytes(b"")
+    got = names(read_archives(spark, str(tmp_path)).select("repo", "pkg", "version", "path", "basename", "is_dir"))
+    assert got == [("odd", "a-b", "1-2", "/", "", True), ("odd", "a-b", "1-2", "/usr/", "usr", True), ("odd", "a-b", "1-2", "/usr/x", "x", False), ("odd", "a-b", "1-2", "/usr/x", "x", False)]
+    assert {r["repo"] for r in archive_files(spark, str(tmp_path)).collect()} == {"odd", "broken"}
+    assert read_archives(spark, str(tmp_path), []).count() == 0
+
+
+def test_opening(spark, tmp_path):
+    path = str(tmp_path / "index")
+    with pytest.raises(catalog.NotFound):
+        FileIndex.open(spark, path)
+    (tmp_path / "file").write_text("")
+    with pytest.raises(catalog.NotADirectory):
+        FileIndex.open(spark, str(tmp_path / "file"))
+    os.mkdir(path)
+    with pytest.raises(catalog.VersionMissing):
+        FileIndex.open(spark, path)
+    catalog.write_version(spark, path, 42_000)
+    with pytest.raises(catalog.WrongVersion):
+        FileIndex.open(spark, path)
+    catalog.write_version(spark, path)
+    assert FileIndex.open(spark, path).manifest.isEmpty()
+
+
+CONF = """[options]
+Architecture = x86_64 x86_64_v3 # first only
+Server = http://ignored
+[testing]
+Server = {base}/$arch/$repo   # comment
+[multilib]
+Include = {folder}/mirror*
+"""
+
+
+def test_config(tmp_path):
+    (tmp_path / "mirrorlist").write_text("Architecture = ignored\nServer = http://two/$repo\n")
+    (tmp_path / "conf").write_text("Server = nowhere\n" + CONF.format(base="http://one", folder=tmp_path) + "Include = /missing/file\n[testing]\n")
+    config = load_config(str(tmp_path / "conf"))
+    assert config.repos == [("testing", ["http://one/$arch/$repo"]), ("multilib", ["http://two/$repo"]), ("testing", [])]
+    assert config.machine == "x86_64" and config.names == {"testing", "multilib"}
+    assert mirrors.url_of("http://one/$arch/$repo", "testing", "x86_64") == "http://one/x86_64/testing/testing.files"
+    with pytest.raises(OSError):
+        load_config(str(tmp_path / "none"))
+
+
+class Mirror(http.server.SimpleHTTPRequestHandler):
+    def do_GET(self):
+        if "/404/" in self.path:
+            self.send_error(404)
+        else:
+            super().do_GET()
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def mirror(tmp_path):
+    root = tmp_path / "mirror"
+    for repo, packages in (("testing", TESTING), ("multilib", SMALL)):
+        folder = root / "x86_64" / repo
+        folder.mkdir(parents=True)
+        archive(folder / f"{repo}.files", packages)
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), lambda *a: Mirror(*a, directory=str(root)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", root
+    server.shutdown()
+
+
+def test_refresh(spark, tmp_path, mirror):
+    base, root = mirror
+    index = str(tmp_path / "index")
+    os.mkdir(index)
+    server = f"{base}/$arch/$repo"
+    config = Config([("testing", [f"{base}/404/$repo", server]), ("multilib", [server])], "x86_64")
+    assert refresh.refresh(spark, config, index) == 0
+    open_ = lambda: FileIndex.open(spark, index)
+    assert names(search.search(open_(), "mkinitcpio").select("prefix")) == [("testing/mkinitcpio",)]
+    before = {r["repo"]: r["source_mtime"] for r in open_().state.collect()}
+    # only what is newer is fetched again
+    archive(root / "x86_64/multilib/multilib.files", {("pkg-c", "1-1"): ["usr/", "usr/c"]})
+    os.utime(root / "x86_64/multilib/multilib.files", (time.time() + 100,) * 2)
+    archive(root / "x86_64/testing/testing.files", SMALL)
+    os.utime(root / "x86_64/testing/testing.files", (before["testing"],) * 2)
+    assert refresh.refresh(spark, config, index) == 0
+    assert names(open_().packages.select("repo", "pkg")) == [("multilib", "pkg-c"), *(("testing", p) for p in sorted(n for n, _ in TESTING))]
+    assert refresh.refresh(spark, config, index, force=True) == 0
+    assert ("testing", "pkg-a") in names(open_().packages.select("repo", "pkg"))
+    # a repository whose mirrors all fail keeps what it has; unknown ones go
+    config = Config([("testing", [f"{base}/404/$repo"])], "x86_64")
+    assert refresh.refresh(spark, config, index) == 1
+    assert {r["repo"] for r in open_().packages.collect()} == {"testing"}
+    assert refresh.refresh(spark, Config(), index) == 1
+
+
+def test_tidy_refuses_strange_folders(spark, tmp_path):
+    index = str(tmp_path)
+    catalog.write_version(spark, index)
+    (tmp_path / "garbage.files").write_text("")
+    os.mkdir(tmp_path / "precious")
+    assert not catalog.tidy(spark, index, set()) and (tmp_path / "garbage.files").exists()
+    os.rmdir(tmp_path / "precious")
+    assert catalog.tidy(spark, index, set()) and not (tmp_path / "garbage.files").exists()
+
+
+@pytest.fixture
+def watched(tmp_path):
+    for folder in ("archives", "index"):
+        os.mkdir(tmp_path / folder)
+    archive(tmp_path / "archives/testing.files", TESTING)
+    archive(tmp_path / "archives/extra.files", SMALL)
+    (tmp_path / "conf").write_text("[testing]\n")
+    return tmp_path
+
+
+def repos(spark, folder):
+    return {r["repo"] for r in FileIndex.open(spark, f"{folder}/index").packages.select("repo").distinct().collect()}
+
+
+def test_start_and_staleness(spark, watched):
+    args = (f"{watched}/archives", f"{watched}/index")
+    config = load_config(f"{watched}/conf")
+    assert refresh.start(spark, config, *args) == ["testing"]
+    assert repos(spark, watched) == {"testing"}
+    assert refresh.start(spark, config, *args) == [] and refresh.sync_once(spark, config, *args, force=True) == ["testing"]
+    os.utime(watched / "archives/testing.files", (time.time() + 50,) * 2)
+    assert refresh.sync_once(spark, config, *args) == ["testing"]
+    catalog.write_version(spark, args[1], catalog.FORMAT_VERSION - 1)
+    assert refresh.start(spark, config, *args) == ["testing"] and catalog.read_version(spark, args[1]) == catalog.FORMAT_VERSION
+    catalog.write_version(spark, args[1], catalog.FORMAT_VERSION + 1)
+    with pytest.raises(refresh.NewerVersion):
+        refresh.start(spark, config, *args)
+    assert catalog.read_version(spark, args[1]) == catalog.FORMAT_VERSION + 1
+
+
+def eventually(holds, seconds=40):
+    end = time.time() + seconds
+    while not holds():
+        assert time.time() < end
+        time.sleep(0.5)
+
+
+def test_stream(spark, watched):
+    sync = Sync(spark, f"{watched}/conf", f"{watched}/archives", f"{watched}/index")
+    sync.start()
+    query = sync.watch(f"{watched}/checkpoint", interval="500 milliseconds")
+    try:
+        # replaced in place, by renaming
+        archive(watched / "new", {("fresh", "1-1"): ["usr/", "usr/fresh"]})
+        os.utime(watched / "new", (time.time() + 5,) * 2)
+        os.rename(watched / "new", watched / "archives/testing.files")
+        packages = lambda: {r["pkg"] for r in FileIndex.open(spark, f"{watched}/index").packages.collect()}
+        eventually(lambda: packages() == {"fresh"})
+        # a repository enabled meanwhile is taken up with the next change, one disabled dropped
+        (watched / "conf").write_text("[extra]\n")
+        os.utime(watched / "archives/extra.files", (time.time() + 9,) * 2)
+        eventually(lambda: repos(spark, watched) == {"extra"})
+    finally:
+        query.stop()
+
+
+def test_inspection(spark, testing):
+    assert names(inspection.package_files(testing, "testing", "mkinitcpio")) == [(0, "d", "/usr/"), (1, "d", "/usr/bin/"), (2, "f", "/usr/bin/mkinitcpio")]
+    assert names(inspection.postings(testing, "mkinitcpio")) == [("testing", "f", "mkinitcpio", "/usr/bin/mkinitcpio")]
+    counted = {r["basename"]: (r["postings"], r["single"]) for r in inspection.basenames(testing).collect()}
+    assert counted["usr"] == (4, False) and counted["udev.so"] == (1, True)
+    trie = {r["resolved"]: r for r in inspection.path_trie(testing).collect()}
+    assert trie["/etc"]["parent"] is None and trie["/usr/bin"]["parent"] == trie["/usr"]["id"] and trie["/usr/bin"]["name"] == "bin"
+    assert ("testing", "12.0.2.u1-2") in names(inspection.strings(testing))
+    total = inspection.summary(testing).first()
+    assert total["packages"] == 4 and total["files"] == sum(map(len, TESTING.values())) and total["paths"] == len(trie)
+
+
+def test_shared_prefixes_and_depth(spark, tmp_path):
+    deep = "/".join(f"d{i}" for i in range(200)) + "/leaf"
+    archive(tmp_path / "r.files", {**SMALL})
+    archive(tmp_path / "deep.files", {("p", "1-1"): [deep]})
+    index = FileIndex.of(read_archives(spark, str(tmp_path)))
+    counts = {r["repo"]: r["n"] for r in inspection.path_nodes(index).groupBy("repo").count().withColumnRenamed("count", "n").collect()}
+    assert counts == {"r": 4, "deep": 201}
+
+
+def test_command_line(spark, watched, capsys):
+    conf, index = f"{watched}/conf", f"{watched}/index"
+    run = lambda *a: (cli.main([*a, "-D", index, "-C", conf], spark), capsys.readouterr().out)
+    assert run("x")[0] == 1  # no index yet
+    assert run("--watch", f"{watched}/archives", "--oneshot") == (0, "")
+    assert run("mkinitcpio") == (0, "testing/mkinitcpio\n")
+    assert run("-l", "-q", "mkinitcpio") == (0, "/usr/\n/usr/bin/\n/usr/bin/mkinitcpio\n")
+    assert run("nothing") == (1, "") and run("-r", "*bad") == (1, "") and run() == (1, "")
+    assert run("--inspect", "packages")[1].splitlines()[0] == "testing\tdhcpcd\t8.0.6-1\t37"
+    with pytest.raises(SystemExit) as left:
+        run("--nonsense")
+    assert left.value.code == 2

@@ -1,0 +1,49 @@
+"""Registered queries against DuckDB on the given tables."""
+
+from __future__ import annotations
+
+import math
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__ as entry
+from pathloom import queries
+
+SF = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
+
+
+def rows(df: pd.DataFrame) -> list[tuple[str, ...]]:
+    def cell(v) -> str:
+        if pd.isna(v):
+            return "null"
+        if isinstance(v, float):
+            return f"{v:.6g}" if not float(v).is_integer() or math.isinf(v) else str(int(v))
+        return str(v)
+
+    return sorted(tuple(cell(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in os.listdir(SF):
+        con.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{name}'")
+    return con
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_same_rows(spark, duck, name):
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
+@needs_data
+def test_entry(spark):
+    assert entry.entry(spark).columns == ["repo", "prefix", "entry"]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
