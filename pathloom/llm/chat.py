@@ -44,7 +44,8 @@ def unescape(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    return F.regexp_replace(escape(c), "\n", "\\\\\\\\\n")
+    """A role ends at the first newline, so its own get a backslash."""
+    return F.regexp_replace(escape(c), "\n", "\\\\\n")
 
 
 def messages(log: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text", kind: str | None = None) -> DataFrame:

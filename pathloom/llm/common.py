@@ -48,9 +48,17 @@ def id_remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def own_names(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that further columns can't clash with derived ones."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns of docs as _0, _1, ... and the needed ones under their own names too.
+
+    Whatever names docs has, none clashes with what an operator adds; `restored` undoes it.
+    """
+    return docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], *needed)
+
+
+def restored(df: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """The columns of docs again, and more; one of docs with a name in more gives way."""
+    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in more], *more)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

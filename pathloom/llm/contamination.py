@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import apart, restored
+
 RATE = 0.2
 WALKS, SAMPLED = 32, 3
 #: Items compared in one pass over the documents.
@@ -241,8 +243,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no item is found."""
+    rows = apart(docs, "text")
     for items in blocks(benchmark, "item_id", "text", block):
-        docs = with_hits(docs, items, text, rate).where("size(_hits) = 0").drop("_hits")
-    return docs
+        rows = with_hits(rows, items, "text", rate).where("size(_hits) = 0").drop("_hits")
+    return restored(rows, docs)

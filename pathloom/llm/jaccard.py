@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, fold_ascii, rooted, settled, small_side, whole_groups
+from .common import WORD, apart, components, fold_ascii, restored, rooted, settled, small_side, whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 28, 6
@@ -230,25 +230,22 @@ def links(docs: DataFrame) -> DataFrame:
     return joined(docs.select("doc_id", "text")).select("doc_id", "class_id", "component_id", "n_links", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: of its smallest id; wordless texts all stay."""
-    j = settled(joined(docs, text, doc_id).where("class IS NOT NULL"))
-    firsts = j.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    goes = j.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "h").distinct()
+    j = settled(joined(docs.select("doc_id", "text")).where("class IS NOT NULL"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    goes = settled(j.where(~stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_g")).distinct())
     # an id repeated with other texts, or with the same text, leaves more rows than components
-    again = firsts.groupBy("component_id").agg(F.min("h").alias("_least"), F.count("*").alias("_n")).where("_n > 1")
-    rows = docs.withColumn("_h", F.xxhash64(F.col(text)))
-    goes = settled(goes.select(F.col("doc_id").alias("_id"), F.col("h").alias("_g")))
-    rows = rows.join(small_side(goes, BROADCAST_MEMBERS), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
-    again = settled(again)
+    again = j.where(stays).groupBy("component_id").agg(F.min("h").alias("_least"), F.count("*").alias("_n"))
+    again = settled(again.where("_n > 1").select("component_id", "_least"))
+    rows = apart(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text"))
+    rows = rows.join(small_side(goes, BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
     if again.isEmpty():
-        return rows.drop("_h")
-    many = F.col(doc_id).eqNullSafe(F.col("component_id"))
-    single = rows.join(again, many, "left_anti").drop("_h")
-    words = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(WORD), F.lit(0)))
-    repeated = rows.join(again, many).where((F.col("_h") == F.col("_least")) | (words == 0))
-    once = repeated.where(words > 0).dropDuplicates(["component_id"])
-    return single.unionByName(once.drop("_h", *again.columns)).unionByName(repeated.where(words == 0).drop("_h", *again.columns))
+        return restored(rows, docs)
+    wordless = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))) == 0
+    rows = rows.join(small_side(again, BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("component_id")), "left").withColumn("_many", F.col("_least").isNotNull() & ~wordless)
+    once = rows.where(F.col("_many") & (F.col("_h") == F.col("_least"))).dropDuplicates(["component_id"])
+    return restored(rows.where(~F.col("_many")).unionAll(once), docs)
 
 
 ORACLE = r"""

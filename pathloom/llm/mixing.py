@@ -6,7 +6,7 @@ falls below the fraction: no document is moved for this, and reruns agree.
 
 Defined results: a null text has no words; a null source is a source of its own and comes last;
 a source without words has target 0 and rate 0; rows that repeat an id share its draw; an empty
-table gives an empty mix. Other columns pass through, but for those this operator names.
+table gives an empty mix. `mix` keeps other columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settled, small_side
+from .common import WORD, apart, restored, settled, small_side
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -57,22 +57,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
     return s.select("source", "source_size", target.alias("target"))
 
 
-def planned(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED) -> DataFrame:
+def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target and copies."""
-    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", words(F.col(text)))
-    sums = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    sized = docs.withColumn("size", words(F.col("text")))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = settled(targets(sums, weights, cap, share)).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    extra = F.when(draw(F.col(doc_id), seed) < rate - F.floor(rate), 1).otherwise(0)
-    joined = sized.join(small_side(plan, BROADCAST_SOURCES), F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+    extra = F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
+    joined = sized.join(small_side(plan, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     return joined.withColumn("copies", (F.floor(rate) + extra).cast("int"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as planned, in the columns of docs."""
-    names = docs.columns
-    p = planned(docs, **options).where("copies > 0")
-    return p.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in names])
+    p = planned(apart(docs, "doc_id", "text", "source"), **options).where("copies > 0")
+    return restored(p.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:

@@ -12,8 +12,8 @@ sums whatever the number of groups.
 
 Defined results: a null text counts as empty; a null id sorts first within its shard; repeated
 rows fall in the same shard and get slots of their own; fewer groups than shards leave shards
-empty; an empty table gives no rows. Other columns pass through, but for `size`, `text_crc32`,
-`shard` and `slot`.
+empty; an empty table gives no rows. Other columns pass through; those named `size`, `text_crc32`,
+`shard` or `slot` give way.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import apart, restored, settled
 
 SHARDS = 16
 #: Hex digits by which a range is refined: 4096 ranges.
@@ -33,9 +33,9 @@ DIGITS = 3
 CELL_DIGITS, SALTS = 2, 256
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame) -> DataFrame:
     """docs with size, text_crc32 and _key, the MD5 of the text in hex."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce("text", F.lit(""))
     raw = whole.cast("binary")
     return docs.withColumns({"size": (F.octet_length(whole) + 1).cast("long"), "text_crc32": F.crc32(raw), "_key": F.md5(raw)})
 
@@ -127,24 +127,23 @@ def plan(measured_docs: DataFrame, shards: int = SHARDS) -> tuple[list[str], lis
     return alone, cut_keys(rest, shards - len(alone))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs with size, text_crc32, shard and slot, slots being gapless from 0 in each shard."""
-    m = measured(docs.drop("size", "text_crc32", "shard", "slot"), text)
+    m = measured(apart(docs, "doc_id", "text"))
     alone, cuts = plan(m, shards)
     number = F.lit(len(alone))
     for cut in cuts:
         number = number + F.when(F.col("_key") >= cut, 1).otherwise(0)
     for i, key in enumerate(alone):
         number = F.when(F.col("_key") == key, i).otherwise(number)
-    cells = m.withColumns({"shard": number.cast("int"), "_cell": F.substring("_key", 1, CELL_DIGITS), "_salt": (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % SALTS).cast("int")})
+    cells = m.withColumns({"shard": number.cast("int"), "_cell": F.substring("_key", 1, CELL_DIGITS), "_salt": (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % SALTS).cast("int")})
     counts = cells.groupBy("shard", "_cell", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_cell", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_cell", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     # at most 16 ** CELL_DIGITS * SALTS cells, and a cell more for each salt at a cut
-    within = Window.partitionBy("shard", "_cell", "_salt").orderBy("_key", doc_id)
+    within = Window.partitionBy("shard", "_cell", "_salt").orderBy("_key", "doc_id")
     slotted = cells.join(F.broadcast(starts), ["shard", "_cell", "_salt"]).withColumn("slot", F.col("_start") + F.row_number().over(within) - 1)
-    kept = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
-    return slotted.select(*[F.col(f"`{c}`") for c in kept], "size", "text_crc32", "shard", "slot")
+    return restored(slotted, docs, "size", "text_crc32", "shard", "slot")
 
 
 def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
