@@ -33,12 +33,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, small_side
+from .common import apart, id_remainder, restored, small_side
 
 LEXICON = 512
 FIT_ROWS = 20_000
 FOLDS = 5
-MIN_DOCS, MIN_WEIGHT, DEVIATIONS = 4, math.log(6.0), 1.645
+#: A term is in so many toxic documents, and in such a share of them (passages that copies share aren't terms).
+MIN_DOCS, MIN_SHARE = 4, 0.01
+MIN_WEIGHT, DEVIATIONS = math.log(6.0), 1.645
+REFINES = 0.7
 #: Labels up to which (12 bytes a row) they are broadcast to the documents.
 BROADCAST_LABELS = 2_000_000
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -71,9 +74,15 @@ def lexicon(train: DataFrame, size: int = LEXICON) -> list[tuple[str, bool, floa
     terms = whole.unionAll(begun.select("term", F.lit(True).alias("begins"), "bad", "good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    terms = terms.withColumn("weight", odds - DEVIATIONS * error).where((F.col("bad") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT))
+    terms = terms.withColumn("weight", odds - DEVIATIONS * error).where((F.col("bad") >= max(MIN_DOCS, MIN_SHARE * bad)) & (F.col("weight") >= MIN_WEIGHT))
     best = terms.orderBy(F.desc(F.col("bad") * F.col("weight")), "begins", "term").limit(size)
-    return [(r["term"], r["begins"], r["weight"]) for r in best.collect()]
+    kept: dict[tuple[str, bool], float] = {}
+    for r in best.collect():
+        # a beginning already kept speaks for its longer forms, unless they weigh much more
+        shorter = [kept[b] for k in range(4, len(r["term"]) + 1) if (b := (r["term"][:k], True)) in kept]
+        if not shorter or r["weight"] > max(shorter) + REFINES:
+            kept[r["term"], r["begins"]] = r["weight"]
+    return [(term, begins, weight) for (term, begins), weight in kept.items()]
 
 
 def allowed_edits(term: str, begins: bool) -> int:
@@ -114,6 +123,8 @@ class Automaton:
         self.names: dict[tuple, int] = {}
         self.sets: list[dict[int, int]] = []
         self.moves: list[dict[str, int]] = []
+        self.begun: list[tuple[int, float]] = []  # the best beginning met at a state: edits, -weight
+        self.ended: list[tuple[int, float]] = []  # the best whole word
         self.start = self.name({0: 0})
 
     def name(self, found: dict[int, int]) -> int:
@@ -131,6 +142,8 @@ class Automaton:
             self.names[key] = len(self.sets)
             self.sets.append(found)
             self.moves.append({})
+            for table, begins, best in ((self.begins, True, self.begun), (self.ends, False, self.ended)):
+                best.append(min([(9, 0.0), *((e, -self.weight[node, begins]) for node, e in found.items() if e <= table[node])]))
         return self.names[key]
 
     def step(self, state: int, c: str) -> int:
@@ -152,18 +165,13 @@ class Automaton:
         if len(self.sets) > self.MOST_STATES:
             self.reset()
         state, best = self.start, (9, 0.0)
-
-        def better(table: list[int], begins: bool) -> tuple[int, float]:
-            met = [(e, -self.weight[node, begins]) for node, e in self.sets[state].items() if e <= table[node]]
-            return min([best, *met])
-
         for c in word:
             state = self.step(state, c)
             if state < 0:
                 break
-            best = better(self.begins, True)
+            best = min(best, self.begun[state])
         else:
-            best = better(self.ends, False)
+            best = min(best, self.ended[state])
         return (best[0], -best[1]) if best[0] < 9 else (-1, 0.0)
 
 
@@ -237,18 +245,27 @@ def counted(docs: DataFrame, terms: list, keep: list[str]) -> DataFrame:
     return docs.withColumn("_x", x("text")).select(*[F.col(f"`{c}`") for c in keep], "_x")
 
 
-def scored(docs: DataFrame, labels: DataFrame, size: int = LEXICON, fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, size: int = LEXICON, fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> DataFrame:
     """docs with held_out, score and predicted."""
     train = training(docs, labels, folds)
     terms = lexicon(train, size)
     # the sample to fit on: the first rows in the order of a hash of id and text
     sample = train.orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(fit_rows) if terms else train.limit(0)
     w = fitted([(r["toxic"], *r["_x"]) for r in counted(sample, terms, ["toxic"]).collect()])
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "_x")]
     z = F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(v)) for v in w[1:]]), lambda a, b: a * b), F.lit(float(w[0])), lambda a, v: a + v)
-    s = counted(docs, terms, kept).withColumn("score", 1 / (1 + F.exp(-z)))
+    s = counted(docs, terms, docs.columns).withColumn("score", 1 / (1 + F.exp(-z)))
     return s.drop("_x").withColumns({"held_out": id_remainder("doc_id", folds) == 0, "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
 
 
+def scored(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs with held_out, score and predicted; columns of these names give way."""
+    return restored(_scored(apart(docs, "doc_id", "text"), labels, **options), docs, "held_out", "score", "predicted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, in their own columns whatever their names."""
+    return restored(_scored(apart(docs, "doc_id", "text"), labels, **options).where("predicted = 0"), docs)
+
+
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return scored(docs.select("doc_id", "text"), labels, **options).select("doc_id", "held_out", "score", "predicted")
