@@ -18,18 +18,17 @@ from pathloom.llm.common import table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labels, doesn't reject."""
-    scored = toxicity.scored(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that n-gram Jaccard links connect."""
-    return jaccard.deduplicated(docs).select(*docs.columns)
+    return jaccard.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    return contamination.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return contamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +38,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with shard and slot."""
-    return sharding.shard(docs).select(*docs.columns, "shard", "slot")
+    return sharding.shard(docs).drop("size", "text_crc32")
 
 
 STAGES = [
