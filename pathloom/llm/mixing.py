@@ -2,7 +2,9 @@
 
 Per source the words are summed, targets are set, and the repetition rate target / words follows.
 Each document is emitted floor(rate) times, and once more if a draw seeded by a hash of its id
-falls below the fraction: no document is moved for this, and reruns agree.
+falls below the fraction: no document is moved for this, and reruns agree. All draws of a source
+are turned by one of ROTATIONS angles, the one that takes words nearest to the target: a source of
+a few documents, one of them very long, would else miss it by far.
 
 Defined results: a null text has no words; a null source is a source of its own and comes last;
 a source without words has target 0 and rate 0; rows that repeat an id share its draw; an empty
@@ -19,6 +21,8 @@ from .common import WORD, apart, restored, settled, small_side
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+#: Draws are numbers of 52 bits; the angle between rotations is theirs times the golden ratio.
+BITS, ANGLE, ROTATIONS = 2**52, 2783361953467913, 32
 #: Sources up to which the table of targets (some 60 bytes a row) is broadcast.
 BROADCAST_SOURCES = 100_000
 
@@ -28,9 +32,14 @@ def words(text: Column) -> Column:
 
 
 def draw(id_column: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that the id and the seed decide: 52 bits of an MD5."""
+    """52 bits of an MD5 of the seed and the id, as a whole number."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_column.cast("string"), F.lit(""))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+
+
+def turned(number: Column, rotation: Column | int) -> Column:
+    """The draw in [0, 1) after a rotation."""
+    return ((number + F.lit(ANGLE) * rotation) % F.lit(BITS)).cast("double") / F.lit(float(BITS))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0) -> DataFrame:
@@ -59,13 +68,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
 
 def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED) -> DataFrame:
     """docs with size, source_size, target and copies."""
-    sized = docs.withColumn("size", words(F.col("text")))
+    sized = docs.withColumns({"size": words(F.col("text")), "_draw": draw(F.col("doc_id"), seed)})
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = settled(targets(sums, weights, cap, share)).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
-    extra = F.when(draw(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    joined = sized.join(small_side(plan, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    return joined.withColumn("copies", (F.floor(rate) + extra).cast("int"))
+    plan = targets(sums, weights, cap, share).withColumn("_rate", rate)
+    plan = settled(plan.withColumns({"_times": F.floor("_rate"), "_part": F.col("_rate") - F.floor("_rate")}).drop("_rate")).withColumnRenamed("source", "_source")
+
+    def planned_for(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        return rows.join(small_side(plan, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")), "left")
+
+    extra = [F.sum(F.when(turned(F.col("_draw"), k) < F.col("_part"), F.col("size")).otherwise(0)).alias(f"_{k}") for k in range(ROTATIONS)]
+    tried = planned_for(sized.select("source", "size", "_draw"), plan).groupBy("_source", "source_size", "target", "_times", "_part").agg(*extra)
+    missed = [F.struct(F.abs(F.col("_times") * F.col("source_size") + F.col(f"_{k}") - F.col("target")).alias("by"), F.lit(k).alias("k")) for k in range(ROTATIONS)]
+    best = settled(tried.select("_source", "source_size", "target", "_times", "_part", F.array_min(F.array(*missed))["k"].alias("_turn")))
+    once_more = F.when(turned(F.col("_draw"), F.col("_turn")) < F.col("_part"), 1).otherwise(0)
+    out = planned_for(sized, best).withColumn("copies", (F.col("_times") + once_more).cast("int"))
+    return out.drop("_source", "_draw", "_times", "_part", "_turn")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -90,8 +108,12 @@ l AS (SELECT *, ROW_NUMBER() OVER o AS n,
   FROM w WINDOW o AS (ORDER BY most / weight, encode(source) NULLS LAST)),
 f AS (SELECT level AS final FROM l WHERE level < most / weight ORDER BY n LIMIT 1),
 t AS (SELECT source, source_size, CASE WHEN level < most / weight THEN LEAST((SELECT final FROM f) * weight, most) ELSE most END AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN LEAST(t.target / t.source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, (FLOOR(rate) + CASE WHEN ('0x' || substr(md5('mix-1:' || COALESCE(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - FLOOR(rate) THEN 1 ELSE 0 END)::INT AS copies FROM r)
+r AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN LEAST(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate FROM t),
+x AS (SELECT d.doc_id, d.size, r.source, r.source_size, r.target, FLOOR(rate) AS times, rate - FLOOR(rate) AS part, ('0x' || substr(md5('mix-1:' || COALESCE(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS draw
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT source, k, ABS(MAX(times) * MAX(source_size) + SUM(CASE WHEN ((draw + 2783361953467913 * k) % 4503599627370496)::DOUBLE / 4503599627370496.0::DOUBLE < part THEN size ELSE 0 END)::DOUBLE - MAX(target)) AS miss
+  FROM x CROSS JOIN range(32) AS g(k) GROUP BY source, k),
+b AS (SELECT source, k FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY miss, k) AS n FROM k) WHERE n = 1),
+c AS (SELECT x.*, (times + CASE WHEN ((draw + 2783361953467913 * k) % 4503599627370496)::DOUBLE / 4503599627370496.0::DOUBLE < part THEN 1 ELSE 0 END)::INT AS copies FROM x JOIN b ON x.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """
