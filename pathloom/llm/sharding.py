@@ -30,7 +30,7 @@ SHARDS = 16
 #: Hex digits by which a range is refined: 4096 ranges.
 DIGITS = 3
 #: Cells in which slots are numbered: leading hex digits and salts that split a large group.
-CELL_DIGITS, SALTS = 2, 256
+CELL_DIGITS, SALTS = 2, 64
 
 
 def measured(docs: DataFrame) -> DataFrame:
