@@ -23,10 +23,9 @@ def settled(df: DataFrame) -> DataFrame:
 
     Only where that setting is absent (tests, one machine) a fresh local folder is used.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pathloom-"))
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="pathloom-"))
     return df.checkpoint()
 
 
@@ -35,7 +34,7 @@ def small_side(df: DataFrame, most_rows: int) -> DataFrame:
 
     df is evaluated to count it, so pass something settled or cheap.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def fold_ascii(c: Column) -> Column:
