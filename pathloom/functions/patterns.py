@@ -34,6 +34,11 @@ def bytes_view(c: Column) -> Column:
     return F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
 
 
+def matches_bytes(c: Column, java: str) -> Column:
+    """Whether the pattern is found in the bytes of c; plain ASCII needs no other view of them."""
+    return F.when(F.octet_length(c) == F.length(c), c.rlike(java)).otherwise(bytes_view(c).rlike(java))
+
+
 def as_bytes_view(pattern: str) -> str:
     return pattern.encode("utf-8").decode("latin-1")
 

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import as_bytes_view, ascii_fold, bytes_view, fold, glob_to_regex, literal_prefix, perl_to_java
+from .patterns import as_bytes_view, ascii_fold, fold, glob_to_regex, literal_prefix, matches_bytes, perl_to_java
 
 
 def directory(is_dir: str = "is_dir") -> Column:
@@ -23,14 +23,14 @@ def in_bins(bins: tuple[str, ...], path: str = "path", is_dir: str = "is_dir") -
 
 
 def glob(pattern: str, ignore_case: bool = False, subject: str = "path") -> Column:
-    matches = bytes_view(F.col(subject)).rlike(glob_to_regex(as_bytes_view(pattern), ignore_case))
+    matches = matches_bytes(F.col(subject), glob_to_regex(as_bytes_view(pattern), ignore_case))
     prefix = literal_prefix(pattern)
     # a literal beginning can be pushed to the scan, which the expression can't
     return F.col(subject).startswith(prefix) & matches if prefix and not ignore_case else matches
 
 
 def regex(pattern: str, ignore_case: bool = False, subject: str = "path") -> Column:
-    return bytes_view(F.col(subject)).rlike(perl_to_java(as_bytes_view(pattern), ignore_case))
+    return matches_bytes(F.col(subject), perl_to_java(as_bytes_view(pattern), ignore_case))
 
 
 def exact(query: str, ignore_case: bool = False, directories: bool = False) -> Column:
