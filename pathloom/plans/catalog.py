@@ -12,6 +12,8 @@ from .manifest import SCHEMA, packages
 
 FORMAT_VERSION = 1
 MARKER = "version.json"
+TABLES = ("manifest", "packages", "repo_state")
+PACKAGES = T.StructType([*[f for f in SCHEMA if f.name in ("pkg_ord", "pkg", "version")], T.StructField("files_count", T.LongType()), T.StructField("repo", T.StringType(), False)])
 STATE = T.StructType([T.StructField("source_mtime", T.LongType()), T.StructField("file_size", T.LongType()), T.StructField("format_version", T.IntegerType()), T.StructField("repo", T.StringType())])
 HINT = "an update may be needed first"
 
@@ -92,29 +94,37 @@ class FileIndex:
                 return spark.createDataFrame([], schema)
             return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(at)
 
-        manifest = table("manifest", SCHEMA)
-        return FileIndex(manifest, packages(manifest), table("repo_state", STATE))
+        return FileIndex(table("manifest", SCHEMA), table("packages", PACKAGES), table("repo_state", STATE))
 
 
-def write_repos(manifest: DataFrame, path: str, state: DataFrame | None = None) -> None:
+def write_repos(manifest: DataFrame, path: str, state: DataFrame | None = None, repos: list[str] | None = None) -> None:
     """Replace exactly the repositories that manifest and state hold; others stay.
 
+    repos names them where it is known, so that packages are counted again for these alone, from
+    what has been written.
+
     Rows are dealt by ranges of (repo, basename) and sorted by basename in each file, so one
     large repository fills several files, and a look-up of a basename reads the row groups whose
     statistics or Bloom filter admit it.
     """
     def written(df: DataFrame, name: str) -> None:
         w = df.write.mode("overwrite").partitionBy("repo").option("partitionOverwriteMode", "dynamic")
-        w.option("parquet.bloom.filter.enabled#basename", "true").option("parquet.bloom.filter.enabled#basename_ci", "true").parquet(f"{path}/{name}")
+        if name == "manifest":
+            w = w.option("parquet.bloom.filter.enabled#basename", "true").option("parquet.bloom.filter.enabled#basename_ci", "true")
+        w.parquet(f"{path}/{name}")
 
     written(manifest.repartitionByRange("repo", "basename", "pkg_ord").sortWithinPartitions("repo", "basename", "pkg_ord"), "manifest")
+    stored = manifest.sparkSession.read.schema(SCHEMA).parquet(f"{path}/manifest")
+    if repos is not None:
+        stored = stored.where(stored["repo"].isin(repos))
+    written(packages(stored).select(PACKAGES.names), "packages")
     if state is not None:
         written(state.select(STATE.names), "repo_state")
 
 
 def remove_repos(spark: SparkSession, path: str, repos: list[str]) -> None:
     """Drop the partitions of repositories, whatever else there is."""
-    for name in ("manifest", "repo_state"):
+    for name in TABLES:
         for repo in repos:
             fs, at = _folder(spark, f"{path}/{name}/repo={repo}")
             fs.delete(at, True)
@@ -122,7 +132,7 @@ def remove_repos(spark: SparkSession, path: str, repos: list[str]) -> None:
 
 def stored_repos(spark: SparkSession, path: str) -> set[str]:
     found: set[str] = set()
-    for name in ("manifest", "repo_state"):
+    for name in TABLES:
         fs, at = _folder(spark, f"{path}/{name}")
         if fs.exists(at):
             found |= {s.getPath().getName()[5:] for s in fs.listStatus(at) if s.getPath().getName().startswith("repo=")}
@@ -133,7 +143,7 @@ def tidy(spark: SparkSession, path: str, known: set[str]) -> bool:
     """Drop repositories that aren't known; refuse if the folder holds directories that no index has."""
     fs, root = _folder(spark, path)
     names = {s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()}
-    if names - {"manifest", "repo_state"}:
+    if names - set(TABLES):
         return False
     remove_repos(spark, path, sorted(stored_repos(spark, path) - known))
     for s in fs.listStatus(root):

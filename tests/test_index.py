@@ -12,6 +12,7 @@ import time
 
 import pyarrow as pa
 import pytest
+from py4j.protocol import Py4JJavaError
 
 from pathloom import cli
 from pathloom.operators import inspection, search
@@ -208,8 +209,14 @@ def test_start_and_staleness(spark, watched):
 
 
 def eventually(holds, seconds=40):
+    """Retried, since a read may meet files that an update is just replacing."""
     end = time.time() + seconds
-    while not holds():
+    while True:
+        try:
+            if holds():
+                return
+        except Py4JJavaError:
+            pass
         assert time.time() < end
         time.sleep(0.5)
 
