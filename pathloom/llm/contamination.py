@@ -41,6 +41,8 @@ WALKS, SAMPLED = 32, 3
 #: Items compared in one pass over the documents.
 BLOCK = 5_000
 BITMAP = 1 << 20
+#: Documents screened at once in a task: arrays of all their words are made.
+TOGETHER = 1024
 #: Sizes in a class are within this ratio of its smallest.
 CLASS_RATIO = 1.12
 HITS = "array<struct<item:int,start:int,end:int,edits:int>>"
@@ -225,7 +227,9 @@ def with_hits(docs: DataFrame, block: list[tuple], text: str, rate: float) -> Da
         items = Items(shared.value, rate)
         names = ("item", "start", "end", "edits")
         for words in batches:
-            yield pd.Series([[dict(zip(names, h, strict=True)) for h in row] for row in items.found(list(words))])
+            docs = list(words)
+            parts = (items.found(docs[a : a + TOGETHER]) for a in range(0, len(docs), TOGETHER))
+            yield pd.Series([[dict(zip(names, h, strict=True)) for h in row] for part in parts for row in part])
 
     return docs.withColumn("_hits", hits(word_hashes(F.col(text))))
 
