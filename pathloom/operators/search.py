@@ -51,8 +51,8 @@ def search(index: FileIndex, query: str, options: Options = Options()) -> DataFr
         rows = rows.where(predicates.in_bins(options.bins))
     rows = rows.where(matching(query, options))
     if one_a_package(query, options):
-        # pkg and version follow from the package's number: the aggregate's key is narrow
-        rows = rows.select("repo", "pkg_ord", "pkg", "version").dropDuplicates(["repo", "pkg_ord"])
+        # name and version follow from the package's number; as part of the key they are hashed, not sorted
+        rows = rows.select("repo", "pkg_ord", "pkg", "version").distinct()
     entry = F.col("path") if options.verbose else F.lit("")
     return rows.select("repo", shown(options).alias("prefix"), entry.alias("entry"))
 
