@@ -40,8 +40,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 28, 6
 HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 28, 1e-6
-#: Classes in a chunk: a group holds two chunks at most.
-CHUNK = 512
+#: Classes and shingles in a chunk, on average: a group holds two chunks at most.
+CHUNK, CHUNK_SHINGLES = 512, 1_000_000
 #: Cluster members up to which (some 80 bytes a row) they are broadcast to the documents.
 BROADCAST_MEMBERS = 1_000_000
 _random = np.random.default_rng(20_24)
@@ -101,18 +101,19 @@ def lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def fingerprinted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, h (hash of the text), class (16 bytes of a hash of the set, null if empty), bands."""
+    """doc_id, h (hash of the text), class (16 bytes of a hash of the set, null if empty), size of the set, bands."""
     hashed = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("h"), word_hashes(F.col(text)).alias("words"))
-    schema = f"doc_id {hashed.schema['doc_id'].dataType.simpleString()}, h long, class binary, bands array<long>"
+    schema = f"doc_id {hashed.schema['doc_id'].dataType.simpleString()}, h long, class binary, size int, bands array<long>"
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, bands = [], []
+            keys, sizes, bands = [], [], []
             for words in lists(b.column("words")):
                 s = shingle_set(words)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sizes.append(len(s))
                 bands.append(band_keys(minhashes(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "class", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "class", "size", "bands"])
 
     return hashed.mapInArrow(of, schema)
 
@@ -189,13 +190,14 @@ def compared(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, h, class_id, component_id, n_links: one row a row of docs (h is the hash of its text)."""
     prints = settled(fingerprinted(docs, text, doc_id))
-    classes = settled(prints.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    classes = settled(prints.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     buckets = classes.select("class", F.explode("bands").alias("key"))
     by_key = F.expr("min(class) OVER (PARTITION BY key)")
     ties = buckets.select("class", by_key.alias("hub")).where("class <> hub").distinct()
     clusters = settled(components(ties, "class", "hub"))
-    chunks = clusters.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    members = clusters.join(chunks, "component").withColumnRenamed("node", "class").join(classes.drop("bands"), "class")
+    sized = clusters.withColumnRenamed("node", "class").join(classes.drop("bands"), "class")
+    chunks = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    members = sized.join(chunks, "component")
     members = settled(members.select("class", F.col("component").alias("cluster"), "copies", "chunks", F.pmod(F.xxhash64("class"), "chunks").cast("int").alias("chunk"), F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")))
     rows = docs.select(F.col(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_x"), F.col(text).alias("_t"))
     # one row a class even where id and text are repeated
