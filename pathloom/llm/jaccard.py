@@ -188,7 +188,10 @@ def compared(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, h, class_id, component_id, n_links: one row a row of docs (h is the hash of its text)."""
+    """doc_id, h, class, root, class_id, component_id, n_links: one row a row of docs (h is the hash of its text).
+
+    root is a class of the component: unlike component_id, an id of documents, it is of this component only.
+    """
     prints = settled(fingerprinted(docs, text, doc_id))
     classes = settled(prints.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     buckets = classes.select("class", F.explode("bands").alias("key"))
@@ -219,12 +222,12 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     groups = components(found.select("class", "root"), "class", "root")
     named = groups.withColumnRenamed("node", "class").join(classes.select("class", F.col("first.doc_id").alias("_first")), "class")
     smallest = named.groupBy("component").agg(F.min(F.struct(F.col("_first").isNotNull(), "_first")).alias("_s"))
-    linked_classes = named.join(smallest, "component").join(links, "class", "left").select("class", F.col("_s._first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    linked_classes = named.join(smallest, "component").join(links, "class", "left").select("class", F.col("component").alias("root"), F.col("_s._first").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     per_class = classes.select("class", F.col("first.doc_id").alias("class_id"), "copies").join(linked_classes, "class", "left")
-    per_class = per_class.select("class", "class_id", F.when(F.col("links").isNotNull(), F.col("component_id")).otherwise(F.col("class_id")).alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    per_class = per_class.select("class", F.coalesce("root", "class").alias("root"), "class_id", F.when(F.col("links").isNotNull(), F.col("component_id")).otherwise(F.col("class_id")).alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = prints.select("doc_id", "h", "class").join(per_class, "class", "left")
     own = lambda c: F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return out.select("doc_id", "h", "class", own("class_id"), own("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "h", "class", "root", own("class_id"), own("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -233,21 +236,29 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: of its smallest id; wordless texts all stay."""
+    """docs with one row of each component: of its smallest id, null first; wordless texts all stay.
+
+    A null id names nothing: components that begin with one are told apart by their roots, and each
+    keeps a row. Of components that begin with the same other id one keeps a row.
+    """
     j = settled(joined(docs.select("doc_id", "text")).where("class IS NOT NULL"))
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    goes = settled(j.where(~stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_g")).distinct())
-    # an id repeated with other texts, or with the same text, leaves more rows than components
-    again = j.where(stays).groupBy("component_id").agg(F.min("h").alias("_least"), F.count("*").alias("_n"))
-    again = settled(again.where("_n > 1").select("component_id", "_least"))
+    goes = j.where(~stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_g")).distinct()
+    # an id repeated with other texts, or with the same text, leaves more rows than groups
+    group = F.when(F.col("doc_id").isNull(), F.col("root")).alias("_root")
+    firsts = j.where(stays).groupBy(F.col("doc_id").alias("_first"), group).agg(F.min("h").alias("_least"), F.count("*").alias("_n"))
+    again = settled(firsts.where("_n > 1").select("_first", "_least"))
+    several = not again.isEmpty()
+    if several:
+        rest = j.where(stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_g")).distinct()
+        goes = goes.unionAll(rest.join(firsts, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_g") == F.col("_least")), "left_anti"))
     rows = apart(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text"))
-    rows = rows.join(small_side(goes, BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
-    if again.isEmpty():
+    rows = rows.join(small_side(settled(goes), BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
+    if not several:
         return restored(rows, docs)
-    wordless = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))) == 0
-    rows = rows.join(small_side(again, BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("component_id")), "left").withColumn("_many", F.col("_least").isNotNull() & ~wordless)
-    once = rows.where(F.col("_many") & (F.col("_h") == F.col("_least"))).dropDuplicates(["component_id"])
-    return restored(rows.where(~F.col("_many")).unionAll(once), docs)
+    rows = rows.join(small_side(again, BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_h") == F.col("_least")), "left")
+    once = rows.where("_least IS NOT NULL").dropDuplicates(["doc_id", "_h"])
+    return restored(rows.where("_least IS NULL").unionAll(once), docs)
 
 
 ORACLE = r"""

@@ -165,6 +165,17 @@ def test_repeated_rows_and_ids(spark):
     assert len(jaccard.links(df).collect()) == len(rows)
 
 
+def test_null_ids_keep_a_row_a_group(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(50))
+    alone = [(None, words(f"n{k}x")) for k in range(6)]
+    # a group of two null ids, and one of a null id and another; copies; an id that begins a group of its own
+    rows = [*alone, alone[0], (None, words("p")), (None, words("p") + " more"), (None, words("q")), (5, words("q") + " more"), (6, words("r")), (None, None), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.deduplicated(spark.createDataFrame(rows, DOCS)).collect()]
+    assert all(kept.count(a) == 1 for a in alone) and kept.count((None, None)) == 2
+    assert kept.count((None, words("p"))) + kept.count((None, words("p") + " more")) == 1
+    assert kept.count((None, words("q"))) == kept.count((6, words("r"))) == 1 and len(kept) == 11
+
+
 def test_groups_larger_than_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK", 8)
     base = [f"w{i}" for i in range(120)]
