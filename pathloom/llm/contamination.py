@@ -7,14 +7,15 @@ of it (insertions, deletions, substitutions).
 1. Windows of the items' sizes slide over every word of every document. By the q-gram lemma a
    window within k edits of an item of n words shares at least n - q + 1 - kq of its q-grams, so
    windows with fewer q-grams that occur in items of that size (a bitmap of fixed size for each
-   class of sizes) can't match and are left; of neighbouring windows the best covered go on.
+   class of sizes) can't match and are left. All others go on. Windows end with their document;
+   one cut there goes on both as it is and moved inside.
 2. These are embedded by the CGK random walk, which maps edit distance to Hamming distance: at
    step j it writes the word it stands on, and moves on or not by a random bit of (j, word).
    In each of WALKS walks, SAMPLED positions give a key. Windows at the distance allowed differ
    from the item at some 40 % of positions, so a walk's keys agree with probability 0.2 and some
    walk's with 0.999; at half that distance with practical certainty.
 3. Items with an equal key are verified by the exact edit distance of the item to any run of words
-   around the window (bit-parallel dynamic programming).
+   around the window (bit-parallel dynamic programming), once for windows that overlap.
 
 Items are taken in blocks of bounded size, each broadcast and compared in one pass over the
 documents, so a document's words never leave its task and nothing is shuffled.
@@ -43,6 +44,8 @@ BLOCK = 5_000
 BITMAP = 1 << 20
 #: Documents screened at once in a task: arrays of all their words are made.
 TOGETHER = 1024
+#: Windows walked over at once: a row of WALKS keys each.
+WALKED = 2048
 #: Sizes in a class are within this ratio of its smallest.
 CLASS_RATIO = 1.12
 HITS = "array<struct<item:int,start:int,end:int,edits:int>>"
@@ -102,23 +105,25 @@ class Walk:
     def __init__(self, n: int):
         rng = np.random.default_rng([10, n])
         self.n, self.steps = n, max(1, math.ceil(1.8 * n))
-        self.bits = rng.integers(0, 2**63, (self.steps, WALKS), dtype=np.uint64)
+        # the top bit of a word's product with a random odd number says whether to move on
+        self.odd = rng.integers(0, 2**63, (self.steps, WALKS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.samples = np.sort(rng.integers(0, self.steps, (WALKS, SAMPLED)), axis=1)
 
     def keys(self, windows: np.ndarray) -> np.ndarray:
         """One key a window and walk, from windows as rows of n word hashes."""
-        padded = np.column_stack([windows, np.zeros(len(windows), np.uint64)])
-        rows = np.arange(len(windows))[:, None]
-        at = np.zeros((len(windows), WALKS), np.int64)
-        key = np.zeros((len(windows), WALKS), np.uint64) + np.arange(1, WALKS + 1, dtype=np.uint64) * np.uint64(self.n)
+        padded = np.column_stack([windows, np.zeros(len(windows), np.uint64)]).ravel()
+        first = np.arange(len(windows)) * (self.n + 1)
+        at = np.tile(first, (WALKS, 1))
+        key = np.tile(np.arange(1, WALKS + 1, dtype=np.uint64)[:, None] * np.uint64(self.n), len(windows))
         for j in range(self.steps):
-            x = padded[rows, at]
-            for s in range(SAMPLED):
-                here = self.samples[:, s] == j
-                if here.any():
-                    key[:, here] = mixed(key[:, here] + x[:, here])
-            at = np.minimum(at + (mixed(x ^ self.bits[j]) >> np.uint64(63)).astype(np.int64), self.n)
-        return key
+            x = padded.take(at)
+            for walk, _ in np.argwhere(self.samples == j).tolist():
+                key[walk] = mixed(key[walk] + x[walk])
+            np.multiply(x, self.odd[j], out=x)
+            np.right_shift(x, np.uint64(63), out=x)
+            at += x.view(np.int64)
+            np.minimum(at, first + self.n, out=at)
+        return key.T
 
 
 class Items:
@@ -161,40 +166,48 @@ class Items:
             return [[] for _ in docs]
         text = np.concatenate(docs).astype(np.int64, copy=False).view(np.uint64)
         ends = np.cumsum(lengths)
+        begins, end = ends - lengths, np.repeat(ends, lengths)
         hashes = {q: (grams(text, q) % np.uint64(BITMAP)).astype(np.int32) for q in {c[2] for c in self.classes}}
         for smallest, sizes, q, least, bitmap in self.classes:
             h = hashes[q]
-            wide = min(smallest, int(lengths.max())) - q + 1  # q-grams in a window
-            if wide < 1 or len(h) < wide:
-                continue
-            sums = np.zeros(len(h) + 1, np.int32)
-            np.cumsum(bitmap[h], out=sums[1:])
-            counts = sums[wide:] - sums[:-wide]
-            starts = np.flatnonzero(counts >= least)
-            if not len(starts):
-                continue
-            near = max(1, edits_allowed(smallest, self.rate))
-            room = np.pad(counts, near, constant_values=-1)
-            highest = np.lib.stride_tricks.sliding_window_view(room, 2 * near + 1)[starts].max(axis=1)
-            starts = starts[counts[starts] == highest]
-            doc = np.searchsorted(ends, starts, side="right")
-            for n in sizes:
-                self._verify(text, n, starts, doc, ends - lengths, ends, out)
+            sums = np.zeros(len(text) + 1, np.int32)
+            # a q-gram over the end of a document is none
+            np.cumsum(bitmap[h] * (np.arange(len(h)) + q <= end[: len(h)]), out=sums[1 : len(h) + 1])
+            sums[len(h) + 1 :] = sums[len(h)]
+            starts = np.flatnonzero(self._counts(sums, np.arange(len(text)), smallest - q + 1, end) >= least)
+            for n in sizes if len(starts) else ():
+                # the window where a match begins has this many, whatever follows it
+                enough = max(1, n - q + 1 - edits_allowed(n, self.rate) * q)
+                mine = starts[self._counts(sums, starts, n - q + 1, end[starts]) >= enough]
+                doc = np.searchsorted(ends, mine, side="right")
+                self._verify(text, n, mine, doc, begins, ends, out)
         return [sorted((i, *place) for i, place in d.items()) for d in out]
 
+    @staticmethod
+    def _counts(sums: np.ndarray, starts: np.ndarray, wide: int, end: np.ndarray) -> np.ndarray:
+        """q-grams of items among so many from each start on, up to the document's end."""
+        return sums[np.minimum(starts + wide, end)] - sums[starts]
+
     def _verify(self, text, n, starts, doc, begins, ends, out) -> None:
         k = edits_allowed(n, self.rate)
-        # near a document's edges windows are moved inside it, and cut if it is shorter
-        at = np.clip(starts, begins[doc], np.maximum(begins[doc], ends[doc] - n))
-        places = np.unique(np.column_stack([doc, at]), axis=0)
-        doc, at = places[:, 0], places[:, 1]
-        index = at[:, None] + np.arange(n)
-        inside = index < ends[doc][:, None]
-        windows = np.where(inside, text[np.minimum(index, len(text) - 1)], np.uint64(0))
+        moved = np.clip(starts, begins[doc], np.maximum(begins[doc], ends[doc] - n))
+        places = np.unique(np.column_stack([np.concatenate([doc, doc]), np.concatenate([starts, moved])]), axis=0)
         known = self.keys[n]
-        for row, d, s in zip(self.walks[n].keys(windows).tolist(), doc.tolist(), at.tolist(), strict=True):
-            for i in {i for key in row for i in known.get(key, ())}:
-                a, b = max(int(begins[d]), s - 2 * k), min(int(ends[d]), s + n + 2 * k)
+        spans: dict[tuple[int, int], list[list[int]]] = {}
+        for part in range(0, len(places), WALKED):
+            doc, at = places[part : part + WALKED].T
+            index = at[:, None] + np.arange(n)
+            windows = np.where(index < ends[doc][:, None], text[np.minimum(index, len(text) - 1)], np.uint64(0))
+            for row, d, s in zip(self.walks[n].keys(windows).tolist(), doc.tolist(), at.tolist(), strict=True):
+                for i in {i for key in row for i in known.get(key, ())}:
+                    a, b = max(int(begins[d]), s - 2 * k), min(int(ends[d]), s + n + 2 * k)
+                    held = spans.setdefault((d, i), [])
+                    if held and a <= held[-1][1]:  # windows come in order
+                        held[-1][1] = max(b, held[-1][1])
+                    else:
+                        held.append([a, b])
+        for (d, i), held in spans.items():
+            for a, b in held:
                 words = text[a:b].tolist()
                 edits, end = distance(self.lists[i], words)
                 if edits <= k:

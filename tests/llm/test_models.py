@@ -314,6 +314,26 @@ def test_decontamination(spark):
     assert contamination.clean(df, bench.limit(0)).count() == df.count()
 
 
+def test_edited_items_beside_exact_ones_and_at_the_end():
+    rng = np.random.default_rng(12)
+    item, other = (rng.integers(1, 2**40, 20) for _ in range(2))
+    fresh = lambda n: rng.integers(2**41, 2**42, n)
+    items = contamination.Items([item, other])
+    beside = last = joined = 0
+    for _ in range(200):
+        edited = item.copy()
+        edited[rng.choice(20, 4, replace=False)] = fresh(4)
+        beside += [h[0] for h in items.found([np.concatenate([fresh(5), edited, other, fresh(5)])])[0]] == [0, 1]
+        # the last document of a batch is shorter than its item
+        short = np.delete(item, rng.choice(20, 3, replace=False))
+        last += [h[0] for h in items.found([fresh(50), short])[1]] == [0]
+        # an exact item begins the next document of the batch
+        joined += [h[0] for h in items.found([np.concatenate([fresh(5), edited]), other])[0]] == [0]
+    assert beside >= 190 and last >= 190 and joined >= 190
+    # all places in reach are verified: no item straddles two documents
+    assert items.found([item[:10], item[10:]]) == [[], []] and items.found([fresh(0), item[:1]]) == [[], []]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 def test_pipeline_stage_by_stage(spark):
     import corpus_pipeline as cp
