@@ -1,9 +1,9 @@
 """Toxicity: a learned lexicon met through Levenshtein automata, weighed by context.
 
 1. The lexicon is learned from labelled rows: for every word, and every word beginning of 4 to 7
-   letters, the labelled documents of either class that hold it are counted over all of them, and
-   the terms that tell toxic documents best, by a smoothed log-odds ratio, are kept (at most
-   LEXICON terms: the only part that reaches driver and executors whole).
+   letters, the labelled texts of either class that hold it are counted over all of them, copies
+   once, and all terms that tell toxic documents, by a smoothed log-odds ratio less its error, are
+   kept (the only part that reaches driver and executors whole: evidence alone bounds it).
 2. Terms form one trie. A word is read by the trie's Levenshtein automaton: states are sets of
    (trie node, edits), built as they are met and kept, so a word costs a dictionary look-up a
    character. Whole-word terms of 5 letters or more allow one edit, of 9 or more two; beginnings
@@ -18,7 +18,7 @@ are no inputs of a score.
 
 Defined results: a null text counts as empty and scores by the bias alone; rows with the same id
 are scored each; labels that are null or of unknown documents are ignored, and repeated ones count
-each; without labels of both classes the lexicon is empty and every score is that of the prior's
+each, but of rows with other ids and the same text and label one id's count for the lexicon; without labels of both classes the lexicon is empty and every score is that of the prior's
 bias; an empty table gives no rows. Other columns of the documents pass through `scored`.
 """
 
@@ -33,17 +33,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, id_remainder, restored, small_side
+from .common import apart, id_remainder, restored, settled, small_side
 
-LEXICON = 512
 FIT_ROWS = 20_000
 FOLDS = 5
-#: A term is in so many toxic documents, and in such a share of them (passages that copies share aren't terms).
-MIN_DOCS, MIN_SHARE = 4, 0.01
-MIN_WEIGHT, DEVIATIONS = math.log(6.0), 1.645
+#: A term is in so many toxic texts, however many there are.
+MIN_DOCS, MIN_WEIGHT, DEVIATIONS = 4, math.log(6.0), 1.645
 REFINES = 0.7
 #: Labels up to which (12 bytes a row) they are broadcast to the documents.
 BROADCAST_LABELS = 2_000_000
+#: Texts with copies up to which (20 bytes a row) they are broadcast.
+BROADCAST_COPIED = 1_000_000
 SPLIT = r"[^\p{L}\p{N}]+"
 WORDS = re.compile(r"[^\W_]+")
 WINDOW = 6
@@ -60,8 +60,17 @@ def training(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFram
     return kept.join(small_side(known, BROADCAST_LABELS), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
-def lexicon(train: DataFrame, size: int = LEXICON) -> list[tuple[str, bool, float]]:
-    """(term, whether it is a beginning, weight), the best first."""
+def once(train: DataFrame) -> DataFrame:
+    """toxic and text of train, of rows with equal ones only those of the smallest id."""
+    rows = train.withColumn("_h", F.xxhash64("text"))
+    copied = rows.groupBy("_h", "toxic").agg(F.min("doc_id").alias("_least"), F.max("doc_id").alias("_most")).where("_least <> _most")
+    rows = rows.join(small_side(settled(copied.select("_h", "toxic", "_least")), BROADCAST_COPIED), ["_h", "toxic"], "left")
+    return rows.where("_least IS NULL OR doc_id = _least").select("toxic", "text")
+
+
+def lexicon(train: DataFrame, size: int | None = None) -> list[tuple[str, bool, float]]:
+    """(term, whether it is a beginning, weight), the best first; all that the evidence bears, or size of them."""
+    train = once(train)
     n = train.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     bad, good = (n[0] or 0), (n[1] or 0)
     if not bad or not good:
@@ -74,15 +83,15 @@ def lexicon(train: DataFrame, size: int = LEXICON) -> list[tuple[str, bool, floa
     terms = whole.unionAll(begun.select("term", F.lit(True).alias("begins"), "bad", "good"))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
     error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
-    terms = terms.withColumn("weight", odds - DEVIATIONS * error).where((F.col("bad") >= max(MIN_DOCS, MIN_SHARE * bad)) & (F.col("weight") >= MIN_WEIGHT))
-    best = terms.orderBy(F.desc(F.col("bad") * F.col("weight")), "begins", "term").limit(size)
+    terms = terms.withColumn("weight", odds - DEVIATIONS * error).where((F.col("bad") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT))
+    best = terms.orderBy(F.desc(F.col("bad") * F.col("weight")), "begins", "term")
     kept: dict[tuple[str, bool], float] = {}
     for r in best.collect():
         # a beginning already kept speaks for its longer forms, unless they weigh much more
         shorter = [kept[b] for k in range(4, len(r["term"]) + 1) if (b := (r["term"][:k], True)) in kept]
         if not shorter or r["weight"] > max(shorter) + REFINES:
             kept[r["term"], r["begins"]] = r["weight"]
-    return [(term, begins, weight) for (term, begins), weight in kept.items()]
+    return [(term, begins, weight) for (term, begins), weight in kept.items()][:size]
 
 
 def allowed_edits(term: str, begins: bool) -> int:
@@ -245,7 +254,7 @@ def counted(docs: DataFrame, terms: list, keep: list[str]) -> DataFrame:
     return docs.withColumn("_x", x("text")).select(*[F.col(f"`{c}`") for c in keep], "_x")
 
 
-def _scored(docs: DataFrame, labels: DataFrame, size: int = LEXICON, fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> DataFrame:
+def _scored(docs: DataFrame, labels: DataFrame, size: int | None = None, fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> DataFrame:
     """docs with held_out, score and predicted."""
     train = training(docs, labels, folds)
     terms = lexicon(train, size)

@@ -94,6 +94,19 @@ def test_toxicity(spark):
     assert toxicity.judged(df, flipped).toPandas().sort_values(["doc_id", "score"])["score"].tolist() == got.sort_values(["doc_id", "score"])["score"].tolist()
 
 
+def test_lexicon_grows_with_the_evidence(spark):
+    rng = random.Random(4)
+    slurs = list(dict.fromkeys("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(600)))
+    rows = [(i, f"plain words {i}", 0) for i in range(9000)]
+    rows += [(10_000 + i, " ".join([f"plain {i}", *[slurs[(i + 1000 * k) % len(slurs)] for k in range(4)]]), 1) for i in range(1000)]
+    # copies of one text are no evidence for its words
+    rows += [(20_000 + i, "copied quoteword", 1) for i in range(30)]
+    terms = toxicity.lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    whole, begins = {t for t, b, _ in terms if not b}, {t for t, b, _ in terms if b}
+    assert all(s in whole or any(s.startswith(b) for b in begins) for s in slurs) and len(whole) > 512
+    assert "quoteword" not in whole and not any("quoteword".startswith(b) for b in begins)
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
