@@ -1,19 +1,23 @@
 """Chat formatting: conversations rebuilt from event logs and rendered, with DataFrame functions only.
 
 A log has a row an event: conversation, sequence number, role, text and, where the log streams,
-an event kind. Kinds: `message` opens a turn; `delta` appends to the open turn of its role, or
-opens one; `edit` replaces the open turn's text; `regenerate` empties the open turn, which
-following deltas fill again. Partition by conversation, sort by sequence, fold.
+an event kind and the number of the event it refers to. Kinds: `message` opens a turn; `delta`
+appends to the open turn of its role, or opens one; `edit` replaces a turn's text; `regenerate`
+empties a turn, which following deltas fill again. An event that refers to another belongs to the
+turn which that one opened, however long ago; else it belongs to the turn opened last. A log
+without kinds is one of messages, and goes through the same fold. Partition by conversation, sort
+by sequence, fold.
 
 A turn is rendered as `<|turn|>role NEWLINE text<|end|>`. Within roles and texts every backslash
 is doubled and every control string gets a backslash after its first character, so no control
 string stands in escaped text and removing one backslash before a character restores it. The
 loss mask covers the escaped text of assistant turns.
 
-Defined results: null roles and texts are empty; rows of equal sequence number follow each other
+Defined results: null roles and texts are empty; long texts are kept whole (a conversation's output
+is one string, so 2 GB at most); rows of equal sequence number follow each other
 by role and text, repeated rows included; events of a null conversation form one conversation
-under null; unknown kinds count as `message`; an empty log gives no rows. Other columns are left
-out.
+under null; unknown kinds and null ones count as `message`; an event that refers to one which opened
+no turn opens one itself; an empty log gives no rows. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import folded
+
 TURN, END = "<|turn|>", "<|end|>"
 #: Strings that mark structure here or in other common templates; each starts with the only < or [ in it.
 CONTROL = (TURN, END, "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]")
@@ -48,25 +54,30 @@ def escape_role(c: Column) -> Column:
     return F.regexp_replace(escape(c), "\n", "\\\\\n")
 
 
-def messages(log: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text", kind: str | None = None) -> DataFrame:
+def messages(log: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str = "role", text: str = "text", kind: str | None = None, ref: str | None = None) -> DataFrame:
     """Events folded into final messages: conv_id, turn (from 0), role, text.
 
     Windows keep the fold spillable: no conversation is gathered as one value here.
     """
-    said = F.coalesce(F.col(text), F.lit(""))
-    e = log.select(F.col(conv).alias("conv_id"), F.col(seq).alias("_seq"), F.coalesce(F.col(role), F.lit("")).alias("role"), said.alias("text"), (F.col(kind) if kind else F.lit("message")).alias("_kind"))
+    s = F.col(seq).alias("_seq")
+    kind_of, ref_of = F.col(kind) if kind else F.lit("message"), F.col(ref) if ref else F.lit(None)
+    e = log.select(F.col(conv).alias("conv_id"), s, F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), kind_of.alias("_kind"), ref_of.cast(log.select(s).schema["_seq"].dataType).alias("_ref"))
     order = Window.partitionBy("conv_id").orderBy("_seq", "role", "text")
-    if kind is None:
-        return e.select("conv_id", (F.row_number().over(order) - 1).cast("long").alias("turn"), "role", "text")
-    follows = F.col("_kind").isin("delta", "edit", "regenerate") & (F.lag("role").over(order) == F.col("role"))
-    e = e.withColumn("turn", F.sum(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).over(order) - 1)
-    e = e.withColumn("_n", F.row_number().over(order))
-    turns = Window.partitionBy("conv_id", "turn")
-    fresh = F.max(F.when(F.col("_kind").isin("edit", "regenerate"), F.col("_n"))).over(turns)
-    kept = e.withColumn("_from", F.coalesce(fresh, F.lit(0))).where("_n >= _from or _n = _from")
-    piece = F.when(F.col("_kind") == "regenerate", "").otherwise(F.col("text"))
+    e = e.withColumns({"_n": F.row_number().over(order), "_before": F.lag("role").over(order)})
+    joins = F.coalesce(F.col("_kind").isin("delta", "edit", "regenerate") & (F.col("_ref").isNotNull() | (F.col("_before") == F.col("role"))), F.lit(False))
+    # a turn is named by the place of the event that opened it; of equal sequence numbers the first is referred to
+    named = Window.partitionBy("conv_id", F.coalesce("_ref", "_seq"))
+    opener = F.min(F.when(~joins, F.col("_n"))).over(named) if ref else F.lit(None).cast("int")
+    e = e.withColumns({"_joins": joins, "_opener": opener})
+    opens = ~F.col("_joins") | (F.col("_ref").isNotNull() & F.col("_opener").isNull())
+    last = F.last(F.when(opens, F.col("_n")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("_n"))
+    e = e.withColumn("_turn", F.when(~opens & F.col("_ref").isNotNull(), F.col("_opener")).otherwise(last)).withColumn("_opens", opens)
+    fresh = F.max(F.when(~F.col("_opens") & F.col("_kind").isin("edit", "regenerate"), F.col("_n"))).over(Window.partitionBy("conv_id", "_turn"))
+    kept = e.withColumn("_from", F.coalesce(fresh, F.lit(0))).where("_opens OR _n >= _from")
+    piece = F.when((F.col("_n") < F.col("_from")) | (F.col("_kind") == "regenerate"), "").otherwise(F.col("text"))
     parts = F.array_sort(F.collect_list(F.struct("_n", piece.alias("p"))))
-    return kept.groupBy("conv_id", "turn", "role").agg(F.array_join(F.transform(parts, lambda x: x["p"]), "").alias("text"))
+    folded_ = kept.groupBy("conv_id", "_turn").agg(F.max(F.when(F.col("_opens"), F.col("role"))).alias("role"), F.array_join(F.transform(parts, lambda x: x["p"]), "").alias("text"))
+    return folded_.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("_turn")) - 1).cast("long").alias("turn"), "role", "text")
 
 
 def rendered(msgs: DataFrame) -> DataFrame:
@@ -89,14 +100,13 @@ def spans(formatted: Column) -> Column:
     turns = F.split(formatted, r"<\|end\|>")
     turns = F.slice(turns, F.lit(1), F.size(turns) - 1)
     opening = f"{TURN}{MASKED_ROLE}\n"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
 
-    def step(acc, t):
-        end = acc["at"] + F.length(t)
-        span = F.struct((acc["at"] + len(opening)).alias("start"), end.alias("end"))
-        return F.struct((end + len(END)).alias("at"), F.when(t.startswith(opening), F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+    def step(at, t):
+        end = at + F.length(t)
+        span = F.struct((at + len(opening)).alias("start"), end.alias("end"))
+        return end + len(END), F.when(t.startswith(opening), span)
 
-    return F.aggregate(turns, zero, step, lambda acc: acc["found"])
+    return folded(turns, F.lit(0), "struct<start:int,end:int>", step)
 
 
 def digested(conversations: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,14 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Without it a fresh local folder serves a local session; a cluster needs the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder.rstrip("/") or tempfile.mkdtemp(prefix="pathloom-")
 
-    Only where that setting is absent (tests, one machine) a fresh local folder is used.
-    """
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark's own file system has it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut, kept in the shared folder of spark.checkpoint.dir."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="pathloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -56,8 +67,30 @@ def apart(docs: DataFrame, *needed: str) -> DataFrame:
 
 
 def restored(df: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
-    """The columns of docs again, and more; one of docs with a name in more gives way."""
-    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in more], *more)
+    """The columns of docs again, and more; one of docs with a name in more, in whatever case, gives way."""
+    given = {m.lower() for m in more}
+    return df.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in given], *more)
+
+
+def folded(array: Column, at: Column, item_type: str, step: Callable[[Column, Column], tuple[Column, Column]], block: int = 256) -> Column:
+    """The items, null left out, that step(at, element) makes along an array; step returns the next `at` and an item.
+
+    Appending to an array copies it, so items are gathered in blocks of bounded size that are
+    joined at the end: the work grows with the array, not with its square.
+    """
+    empty = F.array().cast(f"array<{item_type}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        after, item = step(acc["at"], x)
+        return F.struct(after.alias("at"), F.when(item.isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(item))).alias("found"))
+
+    def some(acc: Column, b: Column) -> Column:
+        done = F.aggregate(F.slice(array, b * block + 1, F.lit(block)), F.struct(acc["at"].alias("at"), empty.alias("found")), one)
+        return F.struct(done["at"].alias("at"), F.concat(acc["found"], F.array(done["found"])).alias("found"))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / block).cast("int"))
+    zero = F.struct(at.alias("at"), F.array().cast(f"array<array<{item_type}>>").alias("found"))
+    return F.when(F.size(array) > 0, F.flatten(F.aggregate(blocks, zero, some, lambda acc: acc["found"]))).otherwise(empty)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -10,10 +10,14 @@ with bounds on what it can't see inside a range, and only the ranges in which a
 summed again 4096 times finer, until the capacity is exact. The driver holds some ten thousand
 sums whatever the number of groups.
 
-Defined results: a null text counts as empty; a null id sorts first within its shard; repeated
+Slots are numbered in cells, ranges of the order times salts of the id, so that no cell holds a
+large group whole; cells grow in number with the rows, and beyond BROADCAST_CELLS their first slots
+are joined by a shuffle. Only rows that repeat both text and id share a cell whatever their number.
+
+Defined results: a null text counts as empty; texts of any length are hashed whole; a null id sorts first within its shard; repeated
 rows fall in the same shard and get slots of their own; fewer groups than shards leave shards
-empty; an empty table gives no rows. Other columns pass through; those named `size`, `text_crc32`,
-`shard` or `slot` give way.
+empty; equal texts and ids tie, in no order between them; an empty table gives no rows. Other columns
+pass through; those named as what is added, in whatever case, give way.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, restored, settled
+from .common import apart, restored, settled, small_side
 
 SHARDS = 16
 #: Hex digits by which a range is refined: 4096 ranges.
 DIGITS = 3
-#: Cells in which slots are numbered: leading hex digits and salts that split a large group.
-CELL_DIGITS, SALTS = 2, 64
+#: Slots are numbered in cells of CELL_ROWS rows at most on average: ranges of the order, each split by salts of the id.
+CELL_DIGITS, CELL_ROWS, LEAST_SALTS = 1, 1_000_000, 64
+#: Cells up to which the table of their first slots (some 30 bytes a row) is broadcast.
+BROADCAST_CELLS = 200_000
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -127,23 +133,25 @@ def plan(measured_docs: DataFrame, shards: int = SHARDS) -> tuple[list[str], lis
     return alone, cut_keys(rest, shards - len(alone))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """docs with size, text_crc32, shard and slot, slots being gapless from 0 in each shard."""
+def shard(docs: DataFrame, shards: int = SHARDS, adding: tuple[str, ...] = ("size", "text_crc32", "shard", "slot")) -> DataFrame:
+    """docs with size, text_crc32, shard and slot, or those named, slots being gapless from 0 in each shard."""
     m = measured(apart(docs, "doc_id", "text"))
+    # a group of any size is split: so many salts that a third of all rows is in cells of bounded size
+    salts = max(LEAST_SALTS, -(-docs.count() // CELL_ROWS))
     alone, cuts = plan(m, shards)
     number = F.lit(len(alone))
     for cut in cuts:
         number = number + F.when(F.col("_key") >= cut, 1).otherwise(0)
     for i, key in enumerate(alone):
         number = F.when(F.col("_key") == key, i).otherwise(number)
-    cells = m.withColumns({"shard": number.cast("int"), "_cell": F.substring("_key", 1, CELL_DIGITS), "_salt": (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % SALTS).cast("int")})
+    salt = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(salts)).cast("int")
+    cells = m.withColumns({"shard": number.cast("int"), "_cell": F.substring("_key", 1, CELL_DIGITS), "_salt": salt})
     counts = cells.groupBy("shard", "_cell", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_cell", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_cell", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    # at most 16 ** CELL_DIGITS * SALTS cells, and a cell more for each salt at a cut
     within = Window.partitionBy("shard", "_cell", "_salt").orderBy("_key", "doc_id")
-    slotted = cells.join(F.broadcast(starts), ["shard", "_cell", "_salt"]).withColumn("slot", F.col("_start") + F.row_number().over(within) - 1)
-    return restored(slotted, docs, "size", "text_crc32", "shard", "slot")
+    slotted = cells.join(small_side(settled(starts), BROADCAST_CELLS), ["shard", "_cell", "_salt"]).withColumn("slot", F.col("_start") + F.row_number().over(within) - 1)
+    return restored(slotted, docs, *adding)
 
 
 def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -3,20 +3,28 @@
 Rules judge what they fit. A host's share of pages that rules allow seeds its trust, the share
 they block its distrust. Trust follows links forward and distrust backward (who links to blocked
 hosts is suspect): two personalised PageRanks, r = (1 - d) seed + d * sum over links of share * r,
-a host without links in that direction keeping what it has. A host is blocked if its distrust
-exceeds its trust by the threshold, so a host of which a few pages are blocked stays.
+a host without links in that direction keeping what it has, until no rank moves by TOLERANCE.
+
+The threshold is per host. A host with pages that rules judged stands on these: it is blocked if
+distrust exceeds trust by THRESHOLD, each being the larger of seed and rank, so links to a blocked
+host never clear it, and a host of which a few pages are blocked stays. Any other host is blocked
+if distrust is more than THRESHOLD of all that reached it: a share doesn't thin out as a host's
+linkers grow in number. Less than FLOOR of distrust is no evidence.
 
 Links are absolute and protocol-relative href targets on another host, counted once a page. The
 link table is summed to one row a pair of hosts before any walk; every round is two shuffles on
 hosts, pre-summed, and is settled. Hosts never reach the driver.
 
 Defined results: a null url, or one without ://, has an empty host and path, no rule, and is
-allowed; a null html has no links; a url on an unknown host is allowed; repeated rows give
+allowed; a null html has no links; urls and pages of any length are read whole; a tie of trust and
+distrust allows; a url on an unknown host is allowed; repeated rows give
 repeated results and count each; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +32,9 @@ from .common import fold_ascii, settled, small_side
 
 #: (verdict, rule); the part of a rule before its first / is the host, the rest begins the path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ROUNDS, THRESHOLD = 0.85, 30, 0.5
+DAMPING, THRESHOLD, TOLERANCE, FLOOR = 0.85, 0.5, 1e-6, 1e-3
+#: A round moves ranks by DAMPING of what the round before did at most, so no more rounds are ever needed.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING)) + 1
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)\shref\s*=\s*["']?(?:https?:)?//([^/?#"'\s<>]+)"""
 #: Hosts up to which their verdicts (some 50 bytes a row) are broadcast.
@@ -77,11 +87,18 @@ def propagated(seeds: DataFrame, pairs: DataFrame, damping: float = DAMPING, rou
         inflow = F.coalesce("got", F.lit(0.0)) + F.when(F.col("flows"), 0.0).otherwise(F.col("r"))
         new = (1 - damping) * F.col("seed") + damping * inflow
         rank = settled(rank.join(got, ["kind", "host"], "left").select("kind", "host", "seed", "flows", new.alias("r"), F.abs(new - F.col("r")).alias("moved")))
-        if rank.agg(F.max("moved")).first()[0] < 1e-9:
+        if rank.agg(F.max("moved")).first()[0] < TOLERANCE:
             break
     return rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("r"))).alias(k) for k in ("trust", "distrust")])
 
 
+def blocked(threshold: float = THRESHOLD) -> Column:
+    """Whether a host with ranks trust and distrust and seeds _t and _d is blocked."""
+    t, d = F.greatest("trust", F.coalesce("_t", F.lit(0.0))), F.greatest("distrust", F.coalesce("_d", F.lit(0.0)))
+    seeded = F.coalesce(F.col("_t") + F.col("_d"), F.lit(0.0)) > 0
+    return F.when(seeded, d - t > threshold).otherwise((d > FLOOR) & (d > threshold * (d + t)))
+
+
 def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, **walk) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html)."""
     host, path = parts(F.col("url"))
@@ -89,8 +106,10 @@ def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, **walk)
     p = p.withColumn("_r", ruled(F.col("host"), F.col("path"), rules))
     is_ = lambda v: F.avg(F.when(F.col("_r.verdict") == v, 1.0).otherwise(0.0))
     seeds = p.where("host <> ''").groupBy("host").agg(is_("allow").alias("trust"), is_("block").alias("distrust"))
-    scores = propagated(settled(seeds), links(p), **walk)
-    verdicts = settled(scores.select("host", (F.col("distrust") - F.col("trust") > threshold).alias("_blocked")))
+    seeds = settled(seeds)
+    own = seeds.select("host", F.col("trust").alias("_t"), F.col("distrust").alias("_d"))
+    scores = propagated(seeds, links(p), **walk).join(own, "host", "left")
+    verdicts = settled(scores.select("host", blocked(threshold).alias("_blocked")))
     out = p.drop("html").join(small_side(verdicts, BROADCAST_HOSTS), "host", "left")
     method = F.when(F.col("_blocked"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.coalesce("_r.verdict", method).alias("verdict"))
@@ -116,7 +135,8 @@ r0 AS MATERIALIZED (SELECT k.kind, a.host, COALESCE(CASE k.kind WHEN 'trust' THE
 """
     for i in range(1, ROUNDS + 1):
         sql += f"r{i} AS MATERIALIZED (SELECT r.kind, r.host, r.seed, {1 - DAMPING!r}::DOUBLE * r.seed + {DAMPING} * (COALESCE(g.got, 0.0) + CASE WHEN r.flows THEN 0.0 ELSE r.r END) AS r, r.flows FROM r{i - 1} r LEFT JOIN (SELECT f.kind, f.target AS host, SUM(f.share * q.r) AS got FROM f JOIN r{i - 1} q ON q.kind = f.kind AND q.host = f.source GROUP BY f.kind, f.target) g ON g.kind = r.kind AND g.host = r.host),\n"
-    return sql + f"""v AS (SELECT host, SUM(CASE WHEN kind = 'distrust' THEN r ELSE -r END) > {THRESHOLD} AS blocked FROM r{ROUNDS} GROUP BY host)
+    return sql + f"""e AS (SELECT host, MAX(CASE WHEN kind = 'trust' THEN GREATEST(r, seed) END) AS t, MAX(CASE WHEN kind = 'distrust' THEN GREATEST(r, seed) END) AS d, SUM(seed) > 0 AS seeded FROM r{ROUNDS} GROUP BY host),
+v AS (SELECT host, CASE WHEN seeded THEN d - t > {THRESHOLD} ELSE d > {FLOOR} AND d > {THRESHOLD} * (d + t) END AS blocked FROM e)
 SELECT p.page_id, p.host, p.path, p.rule, COALESCE(p.ruled, CASE WHEN v.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN v ON v.host = p.host"""
 
 
