@@ -2,18 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns documents
 with the columns they came with; the last adds shard and slot. A stage's result is written as
-Parquet in the shared folder and read again as the next one's documents.
+Parquet in the shared folder and read again as the next one's documents; the copy before goes then.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pathloom.llm import contamination, jaccard, mixing, sharding, toxicity
-from pathloom.llm.common import table
+from pathloom.llm.common import removed, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with shard and slot."""
-    return sharding.shard(docs).drop("size", "text_crc32")
+    return sharding.shard(docs, adding=("shard", "slot"))
 
 
 STAGES = [
@@ -54,10 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="pathloom-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            removed(spark, before)
+        before = f"{folder}/{name}"
     return docs
