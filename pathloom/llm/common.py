@@ -84,13 +84,16 @@ def folded(array: Column, at: Column, item_type: str, step: Callable[[Column, Co
         after, item = step(acc["at"], x)
         return F.struct(after.alias("at"), F.when(item.isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(item))).alias("found"))
 
-    def some(acc: Column, b: Column) -> Column:
-        done = F.aggregate(F.slice(array, b * block + 1, F.lit(block)), F.struct(acc["at"].alias("at"), empty.alias("found")), one)
-        return F.struct(done["at"].alias("at"), F.concat(acc["found"], F.array(done["found"])).alias("found"))
+    def whole(a: Column) -> Column:  # a lambda's variable: the array is made once, not once a block
+        def some(acc: Column, b: Column) -> Column:
+            done = F.aggregate(F.slice(a, b * block + 1, F.lit(block)), F.struct(acc["at"].alias("at"), empty.alias("found")), one)
+            return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["found"], F.array(d["found"])).alias("found")))[0]
 
-    blocks = F.sequence(F.lit(0), F.floor((F.size(array) - 1) / block).cast("int"))
-    zero = F.struct(at.alias("at"), F.array().cast(f"array<array<{item_type}>>").alias("found"))
-    return F.when(F.size(array) > 0, F.flatten(F.aggregate(blocks, zero, some, lambda acc: acc["found"]))).otherwise(empty)
+        blocks = F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int"))
+        zero = F.struct(at.alias("at"), F.array().cast(f"array<array<{item_type}>>").alias("found"))
+        return F.when(F.size(a) > 0, F.flatten(F.aggregate(blocks, zero, some, lambda acc: acc["found"]))).otherwise(empty)
+
+    return F.transform(F.array(array), whole)[0]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
