@@ -254,12 +254,14 @@ def test_language_model_is_a_distribution():
     """Predictions of all known words and one unknown add up to one in every context."""
     rng = np.random.default_rng(4)
     texts = [rng.integers(1, 60, rng.integers(1, 30)).astype(np.int64) * 7919 for _ in range(200)]
-    rows = list(lm.packed(None, np.zeros(200, bool), texts, 0, 1))
-    bucket = lm.Bucket(0, [(b, p) for home, b, p in rows if home == 0])
-    totals = lm.Totals({r.k: (r.a, r.b) for r in bucket.sums().itertuples()})
-    for sweep in range(2):
+    hot = np.array([7919 * 3], np.uint64)
+    rows = list(lm.packed(np.zeros(200, bool), texts, 0, 1, hot))
+    bucket = lm.Bucket(0, [(b, p) for home, b, p in rows if home == 0], hot)
+    of = lambda number: lm.Totals({int(k): (a, b) for k, a, b in zip(*bucket.sums(), strict=True)}, 1, number)
+    totals = of(0)
+    for sweep in range(1, 3):
         bucket.sweep(totals, sweep)
-        totals = lm.Totals({r.k: (r.a, r.b) for r in bucket.sums().itertuples()})
+        totals = of(sweep)
     own, parent = bucket.predicted(totals)
     unknown = (lm.PARENT_STRENGTH + totals.parent_discount * totals.parent_tables) / (totals.words + 1) / (lm.PARENT_STRENGTH + totals.parent_customers)
     assert parent.sum() + unknown == pytest.approx(1)
@@ -269,17 +271,119 @@ def test_language_model_is_a_distribution():
         assert mass / (lm.STRENGTH + totals.customers[u]) == pytest.approx(1)
 
 
-def test_blocked_seating_matches_one_by_one():
-    rng = np.random.default_rng(1)
-    tables = lm.seated(np.full(400, 3000.0), np.full(400, 5.0), 0.5, rng)
-    slow = []
-    for _ in range(60):
-        t = 1
-        for i in range(1, 3000):
-            t += rng.random() < 5.0 / (5.0 + i - 0.5 * t)
-        slow.append(t)
-    assert abs(tables.mean() - np.mean(slow)) < 4 * np.std(slow) / math.sqrt(60) + 0.5
-    assert lm.seated(np.array([1.0, 0.0]), np.ones(2), 0.5, rng).tolist() == [1, 1]
+def tables_law(c, p, d, strength, others):
+    """P(t tables | c customers), t = 1..c, by enumeration."""
+    ways = np.array([0.0])  # logarithms
+    for n in range(c):
+        stay = ways + np.log(np.maximum(n - d * np.arange(n + 1), 1e-300))
+        ways = np.logaddexp(np.append(stay, -1e9), np.insert(ways, 0, -1e9))
+    logs = [ways[t] + sum(math.log(strength + d * (others + i)) for i in range(t)) + t * math.log(p) for t in range(1, c + 1)]
+    weights = np.exp(np.array(logs) - max(logs))
+    return weights / weights.sum()
+
+
+@pytest.mark.parametrize(("c", "p", "d", "strength", "others"), [(2, 0.3, 0.5, 2.0, 0), (10, 0.1, 0.75, 2.0, 0), (60, 0.2, 0.75, 2.0, 0), (60, 0.05, 0.75, 2.0, 20), (200, 0.01, 0.6, 1.0, 100), (256, 0.3, 0.8, 2.0, 500), (400, 0.05, 0.75, 2.0, 20), (600, 0.001, 0.5, 2.0, 3000)])
+def test_tables_are_drawn_from_their_conditional(c, p, d, strength, others):
+    law, n = tables_law(c, p, d, strength, others), 4000
+    mean = law @ np.arange(1, c + 1)
+    spread = math.sqrt(law @ (np.arange(1, c + 1) - mean) ** 2)
+    got = lm.seated(np.full(n, float(c)), np.full(n, float(others)), np.full(n, p), strength, d, np.random.default_rng(3))
+    assert abs(got.mean() - mean) < 3 * spread / math.sqrt(n) and abs(got.std() - spread) < 0.1 * spread
+
+
+def test_many_tables_and_few_customers():
+    law, n = tables_law(700, 0.3, 0.8, 2.0, 500), 2000
+    got = lm.seated(np.full(n, 700.0), np.full(n, 500.0), np.full(n, 0.3), 2.0, 0.8, np.random.default_rng(3))
+    assert abs(got.mean() / (law @ np.arange(1, 701)) - 1) < 0.03
+    assert lm.seated(np.array([1.0, 0.0, 1e7]), np.ones(3), np.full(3, 1e-9), 2.0, 0.5, np.random.default_rng(1)).tolist() == [1, 0, 1]
+
+
+def seated_one_by_one(texts, discounts, sweeps, rng):
+    """An independent sampler: every customer stands up and sits down again, tables and parent alike. Returns P(w | u), averaged."""
+    d, e = discounts
+    h = g = 2.0
+    words = sorted({w for t in texts for w in t})
+    v = len(words)
+    tables, parent, seats = {}, {w: [] for w in words}, []
+
+    def p_parent(w):
+        n, s = sum(sum(x) for x in parent.values()), sum(len(x) for x in parent.values())
+        return (sum(parent[w]) - e * len(parent[w]) + (g + e * s) / (v + 1)) / (g + n)
+
+    def sit(where, w, new, discount):
+        weights = [max(n - discount, 0) for n in where[w]] + [new]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(where[w]):
+            where[w].append(0)
+        where[w][k] += 1
+        return where[w][k] == 1
+
+    def leave(where, w):
+        k = rng.choices(range(len(where[w])), where[w])[0]
+        where[w][k] -= 1
+        if not where[w][k]:
+            del where[w][k]
+            return True
+        return False
+
+    def add(u, w):
+        r = tables.setdefault(u, {x: [] for x in words})
+        if sit(r, w, (h + d * sum(len(x) for x in r.values())) * p_parent(w), d):
+            sit(parent, w, (g + e * sum(len(x) for x in parent.values())) / (v + 1), e)
+
+    for t in texts:
+        for u, w in zip([None, *t], t):
+            add(u, w)
+            seats.append((u, w))
+    mean, kept = Counter(), 0
+    for sweep in range(sweeps):
+        for u, w in seats:
+            if leave(tables[u], w):
+                leave(parent, w)
+            add(u, w)
+        if sweep >= sweeps // 4:
+            kept += 1
+            for u, r in tables.items():
+                c, n = sum(sum(x) for x in r.values()), sum(len(x) for x in r.values())
+                for w in words:
+                    mean[u, w] += (sum(r[w]) - d * len(r[w]) + (h + d * n) * p_parent(w)) / (h + c)
+    return {k: x / kept for k, x in mean.items()}
+
+
+def test_scores_match_an_independent_sampler(spark):
+    rng = random.Random(8)
+    texts = [[f"w{min(11, int(rng.expovariate(0.4)))}" for _ in range(rng.randrange(2, 9))] for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["score"] for r in lm.scored(df, sweeps=12, burn_in=2).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    train = [[*t, "END"] for i, t in enumerate(texts) if not held(i)]
+    hashes = {"END": lm.END, **{w: None for t in texts for w in t}}
+    pairs = Counter((u, w) for t in train for u, w in zip([None, *t], t))
+    assert hashes and pairs
+    # discounts as the operator sets them, from one table a pair
+    ones, twos = sum(c == 1 for c in pairs.values()), sum(c == 2 for c in pairs.values())
+    contexts = Counter(w for _, w in pairs)
+    d = min(0.95, max(0.2, (ones + 1) / (ones + 2 * twos + 2)))
+    a, b = sum(c == 1 for c in contexts.values()), sum(c == 2 for c in contexts.values())
+    e = min(0.95, max(0.2, (a + 1) / (a + 2 * b + 2)))
+    p = seated_one_by_one(train, (d, e), 60, random.Random(1))
+    known = {w for t in train for w in t}
+    want = {i: sum(math.log10(p[u, w]) for u, w in zip([None, *t], [*t, "END"])) for i, t in enumerate(texts) if set(t) <= known and all((u, t[0]) in p for u in [None, *t])}
+    off = np.array([got[i] / want[i] - 1 for i in want])
+    assert len(off) > 20 and abs(off.mean()) < 0.02 and abs(off).max() < 0.12
+
+
+def test_a_hot_word_lies_in_many_buckets(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(w for _ in range(30) for w in ("the", f"x{rng.randrange(3000)}"))) for i in range(300)]
+    df = spark.createDataFrame(rows, DOCS)
+    hot = lm.hot_words(df)
+    assert 1 <= len(hot) <= lm.HOT and df.select(F.xxhash64(F.lit("the")).alias("h")).first()["h"] in hot.view(np.int64).tolist()
+    tokens = lm.tokenised(df, 12, hot).where("bucket >= 0").toPandas()
+    the = np.uint64(np.int64(df.select(F.xxhash64(F.lit("the")).alias("h")).first()["h"]).view(np.uint64))
+    assert len({b for b, p in zip(tokens["bucket"], tokens["payload"], strict=True) if the in lm.unpack(p, *lm.TYPES)[0]}) == 12
+    few, many = (lm.scored(df, bucket_bytes=n).toPandas().set_index("doc_id")["score"].sort_index() for n in (10**9, 3000))
+    assert abs(few / many - 1).max() < 0.02
 
 
 def run_distance(item, words):
