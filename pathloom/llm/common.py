@@ -32,12 +32,24 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared folder of spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def settled(df: DataFrame, dealt: bool = False) -> DataFrame:
+    """The same rows with their lineage cut, kept in the shared folder of spark.checkpoint.dir.
+
+    dealt: df ends in a repartition by key, and what groups by that key later shall not move the
+    rows again. A plan that is adapted while it runs doesn't say how its rows are dealt, so this
+    one isn't.
+    """
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    if not dealt:
+        return df.checkpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
