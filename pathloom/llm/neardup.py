@@ -5,7 +5,8 @@
    and a sketch of 256 more signs. Bits a key grow with the logarithm of the number of vectors,
    and tables so that a pair at the threshold shares a key with probability RECALL.
 3. In a bucket members are tied to leaders: the first member not near (by sketch, with five
-   standard deviations to spare) any leader so far becomes one. This runs first within each task
+   standard deviations to spare) any leader so far becomes one; members are tied to every leader
+   they are near. All buckets of a batch go on at once. This runs first within each task
    that makes keys, so a bucket that holds a third of all rows is down to a few leaders before
    the shuffle, and again over the leaders of all tasks, which are read as a stream.
 4. Connected components of the ties are the clusters in which vectors can link. Large clusters
@@ -14,7 +15,8 @@
 5. Components of these roots are the result.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, link
-with nothing; vectors of different lengths don't link; repeated rows are copies; a repeated id
+with nothing; vectors of different lengths don't link, those of any length are read whole; ties of
+ids go to the smallest; repeated rows are copies; a repeated id
 gets a row each time; an empty table gives no rows. Columns but id and vector are left out.
 """
 
@@ -83,33 +85,27 @@ def hashed(classes: list[bytes], vectors: list[np.ndarray], bits: int, tables: i
     return (keys * np.uint64(0x9E3779B97F4A7C15) ^ salt * np.uint64(0xC4CEB9FE1A85EC53)).view(np.int64), sketches
 
 
-class Leaders:
-    """Members of one bucket tied to its leaders, in the order they come."""
-
-    def __init__(self, most: int):
-        self.most, self.ids, self.sketches = most, [], np.empty((0, SKETCH // 64), np.uint64)
-
-    def add(self, ids: list[bytes], sketches: np.ndarray) -> list[tuple[bytes, bytes]]:
-        """Ties (member, leader); who gets none has become a leader."""
-        ties: list[tuple[bytes, bytes]] = []
-        rest = np.arange(len(ids))
-
-        def tie(leader: bytes, sketch: np.ndarray, rest: np.ndarray) -> np.ndarray:
-            near = np.bitwise_count(sketches[rest] ^ sketch).sum(axis=1) <= self.most
-            ties.extend((ids[r], leader) for r in rest[near])
-            return rest[~near]
-
-        for leader, sketch in zip(self.ids, self.sketches, strict=True):
-            rest = tie(leader, sketch, rest)
-        new = []
-        while len(rest):
-            first, rest = rest[0], rest[1:]
-            new.append(first)
-            if len(rest):
-                rest = tie(ids[first], sketches[first], rest)
-        self.ids += [ids[n] for n in new]
-        self.sketches = np.concatenate([self.sketches, sketches[new]])
-        return ties
+def led(keys: np.ndarray, sketches: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ties (member, leader) by row, and which rows lead. Rows of a bucket follow each other; the first of them leads."""
+    bucket = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).astype(np.int64)])) if len(keys) else np.empty(0, np.int64)
+    open_, leads = np.ones(len(keys), bool), np.zeros(len(keys), bool)
+    rows, ties = np.arange(len(keys)), []
+    while len(rows):
+        waiting = rows[open_[rows]]
+        first = waiting[np.concatenate([[True], bucket[waiting[1:]] != bucket[waiting[:-1]]])] if len(waiting) else waiting
+        if not len(first):
+            break
+        leads[first], open_[first] = True, False
+        # rows of buckets with a new leader, and the leader's place for each
+        at = np.searchsorted(bucket[first], bucket[rows])
+        at[at == len(first)] = 0
+        mine = (bucket[first][at] == bucket[rows]) & ~leads[rows]
+        rows, leader = rows[mine], first[at[mine]]
+        near = np.bitwise_count(sketches[rows] ^ sketches[leader]).sum(axis=1) <= most
+        ties.append((rows[near], leader[near]))
+        open_[rows[near]] = False
+    member, leader = (np.concatenate([t[i] for t in ties]) if ties else np.empty(0, np.int64) for i in (0, 1))
+    return member, leader, leads
 
 
 TIES = "key long, class binary, sketch binary, hub binary"
@@ -124,26 +120,17 @@ def tied_in_task(bits: int, tables: int, most: int):
             for x in vectors_of(b.column("embedding")):
                 if x is not None:
                     by_length.setdefault(len(x), {})[key_of(x)] = x
-            rows: list[tuple] = []
             for own in by_length.values():
-                classes = list(own)
-                keys, sketches = hashed(classes, list(own.values()), bits, tables)
-                packed = [s.tobytes() for s in sketches]
+                keys, sketches = hashed(list(own), list(own.values()), bits, tables)
+                classes, packed = pa.array(list(own), pa.binary()), pa.array([x.tobytes() for x in sketches], pa.binary())
                 for t in range(tables):
                     order = np.argsort(keys[:, t], kind="stable")
                     k = keys[order, t]
-                    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                    for a, e in zip(at, [*at[1:], len(k)], strict=True):
-                        members = order[a:e]
-                        if len(members) == 1:
-                            rows.append((int(k[a]), classes[members[0]], packed[members[0]], None))
-                            continue
-                        ids = [classes[i] for i in members]
-                        leaders = Leaders(most)
-                        rows += [(int(k[a]), x, None, y) for x, y in leaders.add(ids, sketches[members])]
-                        rows += [(int(k[a]), x, s.tobytes(), None) for x, s in zip(leaders.ids, leaders.sketches, strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["key", "class", "sketch", "hub"])
+                    member, leader, leads = led(k, sketches[order], most)
+                    for i, sketch, hub in ((member, None, leader), (np.flatnonzero(leads), packed, None)):
+                        rows, none = pa.array(order[i]), pa.nulls(len(i), pa.binary())
+                        columns = [pa.array(k[i]), classes.take(rows), sketch.take(rows) if sketch is not None else none, classes.take(pa.array(order[hub])) if hub is not None else none]
+                        yield pa.RecordBatch.from_arrays(columns, names=["key", "class", "sketch", "hub"])
 
     return of
 
@@ -151,20 +138,22 @@ def tied_in_task(bits: int, tables: int, most: int):
 def tied_in_buckets(most: int):
     """Leaders of all tasks, sorted by bucket, read as a stream: only leaders stay in memory."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, leaders = None, Leaders(most)
-        for batch in batches:
-            ties: list[tuple[bytes, bytes]] = []
-            k = batch["key"].to_numpy()
-            sketches = np.frombuffer(b"".join(batch["sketch"]), np.uint64).reshape(len(k), -1)
-            ids = list(batch["class"])
-            at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else []
-            for a, e in zip(at, [*at[1:], len(k)], strict=True):
-                if k[a] != key:
-                    key, leaders = k[a], Leaders(most)
-                ties += leaders.add(ids[a:e], sketches[a:e])
-            if ties:
-                yield pd.DataFrame(ties, columns=["class", "hub"])
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # leaders of the last bucket so far, which the next batch may go on with
+        last, held, held_sketches = None, pa.array([], pa.binary()), np.empty((0, SKETCH // 64), np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, ids = b.column("key").to_numpy(), b.column("class")
+            sketches = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint64).reshape(len(k), -1)
+            if last is not None and k[0] == last:
+                k, ids, sketches = np.concatenate([np.full(len(held), last), k]), pa.concat_arrays([held, ids]), np.concatenate([held_sketches, sketches])
+            member, leader, leads = led(k, sketches, most)
+            last = k[-1]
+            kept = np.flatnonzero(leads & (k == last))
+            held, held_sketches = ids.take(pa.array(kept)), sketches[kept]
+            if len(member):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(member)), ids.take(pa.array(leader))], names=["class", "hub"])
 
     return of
 
@@ -210,7 +199,7 @@ def joined(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, v
     classes = settled(ids.where("class IS NOT NULL").groupBy("class").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")))
     local = settled(v.select("embedding").mapInArrow(tied_in_task(bits, tables, most), TIES))
     leaders = local.where("hub IS NULL").select("key", "class", "sketch").repartition("key").sortWithinPartitions("key")
-    ties = local.where("hub IS NOT NULL").select("class", "hub").unionAll(leaders.mapInPandas(tied_in_buckets(most), "class binary, hub binary"))
+    ties = local.where("hub IS NOT NULL").select("class", "hub").unionAll(leaders.mapInArrow(tied_in_buckets(most), "class binary, hub binary"))
     clusters = settled(components(ties, "class", "hub"))
     chunks = clusters.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     members = clusters.join(chunks, "component").withColumnRenamed("node", "class").join(classes.select("class", "copies"), "class")
