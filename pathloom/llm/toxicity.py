@@ -16,10 +16,12 @@
 Labels of held-out rows (crc32 of the id, modulo 5, is 0) are never read. Source, language and id
 are no inputs of a score.
 
-Defined results: a null text counts as empty and scores by the bias alone; rows with the same id
+Defined results: a null text counts as empty and scores by the bias alone; texts of any length are
+read whole; words that meet several terms count the fewest edits, then the largest weight; rows with the same id
 are scored each; labels that are null or of unknown documents are ignored, and repeated ones count
 each, but of rows with other ids and the same text and label one id's count for the lexicon; without labels of both classes the lexicon is empty and every score is that of the prior's
-bias; an empty table gives no rows. Other columns of the documents pass through `scored`.
+bias; an empty table gives no rows. Other columns of the documents pass through `scored`, but for
+those named as its own, in whatever case.
 """
 
 from __future__ import annotations
@@ -225,16 +227,16 @@ class Reader:
 
 
 def fitted(rows: list) -> np.ndarray:
-    """Weights of bias and counts by Newton's method around the prior. rows: (toxic, four counts)."""
+    """Weights of bias and counts by Newton's method around the prior. rows: (times, toxic, four counts)."""
     w = PRIOR.copy()
     if not rows:
         return w
     data = np.array([list(r) for r in rows], dtype=float)
-    y, x = data[:, 0], np.column_stack([np.ones(len(data)), data[:, 1:]])
+    times, y, x = data[:, 0], data[:, 1], np.column_stack([np.ones(len(data)), data[:, 2:]])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + (w - PRIOR) / SPREAD**2
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(1 / SPREAD**2), gradient)
+        gradient = x.T @ (times * (p - y)) + (w - PRIOR) / SPREAD**2
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + np.diag(1 / SPREAD**2), gradient)
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
@@ -254,13 +256,27 @@ def counted(docs: DataFrame, terms: list, keep: list[str]) -> DataFrame:
     return docs.withColumn("_x", x("text")).select(*[F.col(f"`{c}`") for c in keep], "_x")
 
 
+def fit_sample(train: DataFrame, terms: list, rows: int) -> list[tuple]:
+    """(times, toxic, four counts) of the first rows of train in the order of a hash of id and text.
+
+    Hashes are chosen first, among those below a bound that some two times as many pass; only then
+    are the texts read, where they lie, and rows alike come as one.
+    """
+    keyed = train.withColumn("_k", F.xxhash64("doc_id", "text"))
+    share = min(1.0, 2.0 * rows / max(1, train.count()))
+    passing = keyed.where(F.col("_k").cast("double") / 2.0**64 + 0.5 <= share) if share < 1 else keyed
+    chosen = passing.select("_k", "toxic").orderBy("_k", "toxic").limit(rows).groupBy("_k", "toxic").agg(F.count("*").alias("_times"))
+    # at most `rows` hashes
+    found = counted(keyed.join(F.broadcast(chosen), ["_k", "toxic"]), terms, ["_k", "toxic", "_times"])
+    alike = found.groupBy("_k", "toxic").agg(F.first("_times").alias("times"), F.first("_x").alias("x"))
+    return [(r["times"], r["toxic"], *r["x"]) for r in alike.orderBy("_k", "toxic").collect()]
+
+
 def _scored(docs: DataFrame, labels: DataFrame, size: int | None = None, fit_rows: int = FIT_ROWS, folds: int = FOLDS) -> DataFrame:
     """docs with held_out, score and predicted."""
     train = training(docs, labels, folds)
     terms = lexicon(train, size)
-    # the sample to fit on: the first rows in the order of a hash of id and text
-    sample = train.orderBy(F.xxhash64("doc_id", "text"), "toxic").limit(fit_rows) if terms else train.limit(0)
-    w = fitted([(r["toxic"], *r["_x"]) for r in counted(sample, terms, ["toxic"]).collect()])
+    w = fitted(fit_sample(train, terms, fit_rows) if terms else [])
     z = F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(v)) for v in w[1:]]), lambda a, b: a * b), F.lit(float(w[0])), lambda a, v: a + v)
     s = counted(docs, terms, docs.columns).withColumn("score", 1 / (1 + F.exp(-z)))
     return s.drop("_x").withColumns({"held_out": id_remainder("doc_id", folds) == 0, "predicted": F.when(F.col("score") >= 0.5, 1).otherwise(0)})
