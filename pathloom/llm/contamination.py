@@ -20,7 +20,7 @@ of it (insertions, deletions, substitutions).
 Items are taken in blocks of bounded size, each broadcast and compared in one pass over the
 documents, so a document's words never leave its task and nothing is shuffled.
 
-Defined results: null or wordless texts and items match nothing; repeated rows are reported each;
+Defined results: null or wordless texts and items match nothing; texts of any length are read whole; repeated rows are reported each;
 of several places the one with fewest edits, then the first, is reported for a row and item; items
 with equal words are each reported; empty tables give no rows. Other columns pass through `clean`.
 """
@@ -39,8 +39,8 @@ from .common import apart, restored
 
 RATE = 0.2
 WALKS, SAMPLED = 32, 3
-#: Items compared in one pass over the documents.
-BLOCK = 5_000
+#: Items compared in one pass over the documents, and words of theirs, at most.
+BLOCK, BLOCK_WORDS = 5_000, 500_000
 BITMAP = 1 << 20
 #: Documents screened at once in a task: arrays of all their words are made.
 TOGETHER = 1024
@@ -48,7 +48,6 @@ TOGETHER = 1024
 WALKED = 2048
 #: Sizes in a class are within this ratio of its smallest.
 CLASS_RATIO = 1.12
-HITS = "array<struct<item:int,start:int,end:int,edits:int>>"
 
 
 def word_hashes(text: Column) -> Column:
@@ -219,41 +218,43 @@ class Items:
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple]]:
-    """Items (id, words) in blocks; only one block at a time is on the driver."""
+    """Items (id, words) in blocks of bounded size. The benchmark passes through the driver, and its words stay in broadcasts until the result is made: what is broadcast grows with the benchmark, not with the corpus."""
     rows = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("words")).where("size(words) > 0")
     block: list[tuple] = []
+    words = 0
     for r in rows.toLocalIterator():
         block.append((r["item_id"], np.array(r["words"], np.int64)))
-        if len(block) == size:
+        words += len(r["words"])
+        if len(block) == size or words >= BLOCK_WORDS:
             yield block
-            block = []
+            block, words = [], 0
     if block:
         yield block
 
 
-def with_hits(docs: DataFrame, block: list[tuple], text: str, rate: float) -> DataFrame:
-    """docs with _hits, places of the block's items (by number in the block)."""
-    shared = docs.sparkSession.sparkContext.broadcast([w for _, w in block])
+def with_hits(docs: DataFrame, block: list[tuple], text: str, rate: float, id_type: str) -> DataFrame:
+    """docs with _hits, places of the block's items."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
-    @F.pandas_udf(HITS)
+    @F.pandas_udf(f"array<struct<item:{id_type},start:int,end:int,edits:int>>")
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        items = Items(shared.value, rate)
+        ids, words_of = zip(*shared.value, strict=True)
+        items = Items(list(words_of), rate)
         names = ("item", "start", "end", "edits")
         for words in batches:
             docs = list(words)
             parts = (items.found(docs[a : a + TOGETHER]) for a in range(0, len(docs), TOGETHER))
-            yield pd.Series([[dict(zip(names, h, strict=True)) for h in row] for part in parts for row in part])
+            yield pd.Series([[dict(zip(names, (ids[h[0]], *h[1:]), strict=True)) for h in row] for part in parts for row in part])
 
     return docs.withColumn("_hits", hits(word_hashes(F.col(text))))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, start_word, end_word, edits for every document and item found in it."""
-    slim, found = docs.select("doc_id", "text"), None
+    slim, found, id_type = docs.select("doc_id", "text"), None, benchmark.schema["item_id"].dataType.simpleString()
     for items in blocks(benchmark, "item_id", "text", block):
-        ids = F.array(*[F.lit(i) for i, _ in items])
-        hits = with_hits(slim, items, "text", rate).where("size(_hits) > 0").select("doc_id", F.explode("_hits").alias("h"))
-        part = hits.select("doc_id", F.element_at(ids, F.col("h.item") + 1).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.col("h.start").alias("start_word"), F.col("h.end").alias("end_word"), F.col("h.edits").alias("edits"))
+        hits = with_hits(slim, items, "text", rate, id_type).where("size(_hits) > 0").select("doc_id", F.explode("_hits").alias("h"))
+        part = hits.select("doc_id", F.col("h.item").alias("item_id"), F.col("h.start").alias("start_word"), F.col("h.end").alias("end_word"), F.col("h.edits").alias("edits"))
         found = part if found is None else found.unionAll(part)
     if found is None:
         return slim.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), *[F.lit(0).alias(c) for c in ("start_word", "end_word", "edits")]).where("false")
@@ -262,7 +263,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """The rows of docs in which no item is found."""
-    rows = apart(docs, "text")
+    rows, id_type = apart(docs, "text"), benchmark.schema["item_id"].dataType.simpleString()
     for items in blocks(benchmark, "item_id", "text", block):
-        rows = with_hits(rows, items, "text", rate).where("size(_hits) = 0").drop("_hits")
+        rows = with_hits(rows, items, "text", rate, id_type).where("size(_hits) = 0").drop("_hits")
     return restored(rows, docs)
