@@ -19,7 +19,7 @@ similarity of their sets is 0.8 or more.
 
 Defined results: a null or wordless text has no shingles, links with nothing and is its own class
 member by id and text; rows with repeated id and text count as copies; ties go to the smallest id,
-null first; an empty table gives no rows. Other columns pass through `deduplicated`.
+null first; texts of any length are shingled whole; an empty table gives no rows. Other columns pass through `deduplicated`.
 """
 
 from __future__ import annotations
@@ -78,19 +78,20 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     upper, least = (s >> np.uint64(32)).astype(np.uint32), np.full(HASHES, 2**32 - 1, np.uint32)
     for a in range(0, len(upper), 16_384):
         part = upper[a : a + 16_384]
-        room = np.empty_like(part)
-        for i in range(HASHES):
-            np.bitwise_xor(part, XORS[i], out=room)
-            np.multiply(room, FACTORS[i], out=room)
-            least[i] = min(least[i], room.min())
+        several = max(1, 65_536 // len(part))  # hashes at once: as many as a cache holds
+        for i in range(0, HASHES, several):
+            room = part ^ XORS[i : i + several, None]
+            room *= FACTORS[i : i + several, None]
+            np.minimum(least[i : i + several], room.min(axis=1), out=least[i : i + several])
     return least
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(BANDS, BAND_ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each signature."""
+    rows = signatures.reshape(-1, BANDS, BAND_ROWS).astype(np.uint64)
+    h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(rows), 1))
     for i in range(BAND_ROWS):
-        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, i])
     return h.view(np.int64)
 
 
@@ -107,12 +108,15 @@ def fingerprinted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, bands = [], [], []
+            keys, sizes, signatures = [], [], []
             for words in lists(b.column("words")):
                 s = shingle_set(words)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sizes.append(len(s))
-                bands.append(band_keys(minhashes(s)) if len(s) else None)
+                if len(s):
+                    signatures.append(minhashes(s))
+            made = iter(band_keys(np.stack(signatures)) if signatures else ())
+            bands = [next(made) if n else None for n in sizes]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "class", "size", "bands"])
 
     return hashed.mapInArrow(of, schema)
@@ -236,29 +240,29 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: of its smallest id, null first; wordless texts all stay.
+    """docs with one row of each component: of its smallest id, null first, then of the smallest hash of its text; wordless texts all stay.
 
-    A null id names nothing: components that begin with one are told apart by their roots, and each
-    keeps a row. Of components that begin with the same other id one keeps a row.
+    Components are told apart by their roots, not by ids, which may be null or repeated. A null id
+    or one that is repeated with other texts loses no group.
     """
     j = settled(joined(docs.select("doc_id", "text")).where("class IS NOT NULL"))
-    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    goes = j.where(~stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_g")).distinct()
-    # an id repeated with other texts, or with the same text, leaves more rows than groups
-    group = F.when(F.col("doc_id").isNull(), F.col("root")).alias("_root")
-    firsts = j.where(stays).groupBy(F.col("doc_id").alias("_first"), group).agg(F.min("h").alias("_least"), F.count("*").alias("_n"))
-    again = settled(firsts.where("_n > 1").select("_first", "_least"))
-    several = not again.isEmpty()
-    if several:
-        rest = j.where(stays).select(F.col("doc_id").alias("_id"), F.col("h").alias("_g")).distinct()
-        goes = goes.unionAll(rest.join(firsts, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_g") == F.col("_least")), "left_anti"))
+    # the row that stays of each component: rows of equal id and text count as one here
+    stays = j.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("s"), F.count("*").alias("n"))
+    stays = settled(stays.where("n > 1").select("root", F.col("s.doc_id").alias("_first"), F.col("s.h").alias("_least")))
+    pairs = j.select("root", F.col("doc_id").alias("_id"), F.col("h").alias("_g")).distinct().join(stays, "root")
+    is_first = F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_g") == F.col("_least"))
+    marked = settled(pairs.select("_id", "_g", is_first.alias("_once")))
     rows = apart(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text"))
-    rows = rows.join(small_side(settled(goes), BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
-    if not several:
+    rows = rows.join(small_side(marked, BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left")
+    # only rows that are repeated whole are brought together, each with its copies
+    again = settled(j.groupBy(F.col("doc_id").alias("_i"), F.col("h").alias("_k")).agg(F.count("*").alias("n")).where("n > 1").select("_i", "_k"))
+    rows = rows.where("_once IS NULL OR _once")
+    if again.isEmpty():
         return restored(rows, docs)
-    rows = rows.join(small_side(again, BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("_h") == F.col("_least")), "left")
-    once = rows.where("_least IS NOT NULL").dropDuplicates(["doc_id", "_h"])
-    return restored(rows.where("_least IS NULL").unionAll(once), docs)
+    rows = rows.join(small_side(again, BROADCAST_MEMBERS), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_k")), "left")
+    repeated = F.col("_once").isNotNull() & F.col("_k").isNotNull()
+    once = rows.where(repeated).dropDuplicates(["doc_id", "_h"])
+    return restored(rows.where(~repeated).unionAll(once), docs)
 
 
 ORACLE = r"""
