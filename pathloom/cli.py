@@ -7,6 +7,7 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .functions.patterns import PatternError
 from .operators import inspection, listing, search
@@ -24,7 +25,7 @@ def arguments() -> argparse.ArgumentParser:
     mode.add_argument("-u", "--update", action="count", default=0, help="twice: whether newer or not")
     mode.add_argument("--watch", metavar="ARCHIVES", help="keep the index in step with a folder of archives")
     mode.add_argument("--oneshot", action="store_true")
-    mode.add_argument("--inspect", choices=("summary", "packages", "basenames", "paths", "strings"))
+    mode.add_argument("--inspect", choices=("summary", "packages", "files", "basenames", "postings", "paths", "strings"), help="files takes repo/package, postings a basename as target")
     p.add_argument("-g", "--glob", dest="match", action="store_const", const=Match.GLOB, default=Match.EXACT)
     p.add_argument("-r", "--regex", dest="match", action="store_const", const=Match.REGEX)
     for letter, name in (("-i", "ignorecase"), ("-b", "binaries"), ("-d", "directories"), ("-q", "quiet"), ("-v", "verbose"), ("-w", "raw"), ("-0", "null")):
@@ -69,8 +70,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(f"error: {error}", file=sys.stderr)
         return 1
     if a.inspect:
-        shown = {"summary": inspection.summary, "packages": inspection.package_table, "basenames": inspection.basenames, "paths": inspection.path_trie, "strings": inspection.strings}[a.inspect](index)
-        for row in shown.orderBy(*shown.columns).toLocalIterator():
+        if a.inspect in ("files", "postings") and not a.target:
+            print(f"error: --inspect {a.inspect} needs a target", file=sys.stderr)
+            return 1
+        if a.inspect == "files":
+            shown = inspection.package_files(index, *a.target.partition("/")[::2])
+        elif a.inspect == "postings":
+            shown = inspection.postings(index, a.target)
+        else:
+            shown = {"summary": inspection.summary, "packages": inspection.package_table, "basenames": inspection.basenames, "paths": inspection.path_trie, "strings": inspection.strings}[a.inspect](index)
+        # basenames by how often they occur, everything else by its columns
+        order = [F.desc("postings"), "basename", "repo"] if a.inspect == "basenames" else shown.columns
+        for row in shown.orderBy(*order).toLocalIterator():
             print(*row, sep="\t")
         return 0
     options = Options(a.match, a.ignorecase, a.directories, a.binaries, path_bins(os.environ.get("PATH")), a.repo, a.verbose, a.quiet, a.raw, "\0" if a.null else "\n")

@@ -1,4 +1,4 @@
-"""What an index holds: counts, sizes, and the tries and tables behind its paths."""
+"""What an index holds: counts, packages, files, basenames and where they are, paths and their parts."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import FileIndex
 
-#: Bytes of a record of each kind in the compact layout that sizes are stated in.
-STRING_REF, PATH_NODE, PACKAGE, FILE_REF, BASENAME, POSTING = 8, 8, 16, 4, 12, 8
-
 
 def package_table(index: FileIndex) -> DataFrame:
     return index.packages.select("repo", "pkg", "version", "files_count")
@@ -56,12 +53,11 @@ def strings(index: FileIndex) -> DataFrame:
 
 
 def summary(index: FileIndex) -> DataFrame:
-    """One row a repository: counts, bytes by section, and ratios."""
+    """One row a repository: counts, bytes of names, and ratios."""
     by_package = index.packages.groupBy("repo").agg(F.count("*").alias("packages"), F.sum("files_count").alias("files"))
     by_name = basenames(index).groupBy("repo").agg(F.count("*").alias("basenames"), F.count_if("single").alias("single"))
     nodes = path_nodes(index).groupBy("repo").agg(F.count("*").alias("paths"))
     text = strings(index).groupBy("repo").agg(F.count("*").alias("strings"), F.sum(F.octet_length("string")).alias("string_bytes"))
     all_ = by_package.join(by_name, "repo").join(nodes, "repo").join(text, "repo")
-    sized = {"string_table_bytes": F.col("strings") * STRING_REF, "path_table_bytes": F.col("paths") * PATH_NODE, "package_bytes": F.col("packages") * PACKAGE, "file_bytes": F.col("files") * FILE_REF, "basename_bytes": F.col("basenames") * BASENAME, "posting_bytes": (F.col("files") - F.col("single")) * POSTING}
     ratios = {"files_per_path": F.round(F.col("files") / F.col("paths"), 2), "single_percent": F.round(100.0 * F.col("single") / F.col("basenames"), 1)}
-    return all_.withColumns({**sized, **ratios})
+    return all_.withColumns(ratios)

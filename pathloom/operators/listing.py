@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates
@@ -18,13 +18,19 @@ def packages_named(index: FileIndex, name: str, options: Options) -> DataFrame:
     An exact name means the first package of that name in each repository, ignoring case the
     first in the order of names.
     """
-    p = index.packages
+    meant = index.packages.where(named(name, options))
+    if options.match in (Match.GLOB, Match.REGEX):
+        return meant.select("repo", "pkg_ord")
+    return meant.groupBy("repo").agg(F.min(F.struct("pkg", "pkg_ord")).alias("first")).select("repo", "first.pkg_ord")
+
+
+def named(name: str, options: Options) -> Column:
+    """Whether column pkg is what a name, glob or regular expression means."""
     if options.match is Match.GLOB:
-        return p.where(predicates.glob(name, options.ignore_case, "pkg")).select("repo", "pkg_ord")
+        return predicates.glob(name, options.ignore_case, "pkg")
     if options.match is Match.REGEX:
-        return p.where(predicates.regex(name, options.ignore_case, "pkg")).select("repo", "pkg_ord")
-    same = ascii_fold(F.col("pkg")) == fold(name) if options.ignore_case else F.col("pkg") == name
-    return p.where(same).groupBy("repo").agg(F.min(F.struct("pkg", "pkg_ord")).alias("first")).select("repo", "first.pkg_ord")
+        return predicates.regex(name, options.ignore_case, "pkg")
+    return ascii_fold(F.col("pkg")) == fold(name) if options.ignore_case else F.col("pkg") == name
 
 
 def list_files(index: FileIndex, target: str, options: Options = Options()) -> DataFrame:  # noqa: B008
@@ -34,7 +40,8 @@ def list_files(index: FileIndex, target: str, options: Options = Options()) -> D
     if repo:
         only = F.col("repo") == repo
         index = FileIndex(index.manifest.where(only), index.packages.where(only))
-    rows = index.manifest.join(packages_named(index, name, options), ["repo", "pkg_ord"], "left_semi")
+    # the same condition on the manifest: it reaches the scan, where statistics and Bloom filters of pkg skip row groups
+    rows = index.manifest.where(named(name, options)).join(packages_named(index, name, options), ["repo", "pkg_ord"], "left_semi")
     if options.binaries:
         rows = rows.where(predicates.in_bins(options.bins))
     if options.quiet:

@@ -110,7 +110,7 @@ def write_repos(manifest: DataFrame, path: str, state: DataFrame | None = None,
     def written(df: DataFrame, name: str) -> None:
         w = df.write.mode("overwrite").partitionBy("repo").option("partitionOverwriteMode", "dynamic")
         if name == "manifest":
-            w = w.option("parquet.bloom.filter.enabled#basename", "true").option("parquet.bloom.filter.enabled#basename_ci", "true")
+            w = w.option("parquet.bloom.filter.enabled#basename", "true").option("parquet.bloom.filter.enabled#basename_ci", "true").option("parquet.bloom.filter.enabled#pkg", "true")
         w.parquet(f"{path}/{name}")
 
     written(manifest.repartitionByRange("repo", "basename", "pkg_ord").sortWithinPartitions("repo", "basename", "pkg_ord"), "manifest")

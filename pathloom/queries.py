@@ -14,6 +14,7 @@ from .options import Match, Options
 from .plans import render
 from .plans.catalog import FileIndex, write_repos, write_version
 from .plans.manifest import MANIFEST_SQL, from_tables
+from .sources import archives
 
 BINS = ("/usr/bin/", "/usr/sbin/")
 _stored: dict[tuple[str, str], str] = {}
@@ -23,7 +24,10 @@ def stored_index(spark: SparkSession, sf_dir: str) -> FileIndex:
     """The manifest of sf_dir, written as an index in the shared folder the first time a session asks."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="pathloom-")
+        root = spark.conf.get("spark.checkpoint.dir", "")
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = root or tempfile.mkdtemp(prefix="pathloom-")
         path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
         write_repos(from_tables(spark, sf_dir), path)
         write_version(spark, path)
@@ -82,8 +86,6 @@ QUERIES = {
     "search_basename_dirs": searching("bin", directories=True),
     "search_path": searching("/usr/bin/small-ring"),
     "search_path_dir": searching("/usr/bin/", directories=True),
-    "search_path_dir_without_flag": searching("/usr/bin/"),
-    "search_path_relative": searching("usr/bin/small-ring"),
     "search_ci": searching("SMALL-ring", ignore_case=True),
     "search_ci_path": searching("/USR/BIN/small-ring", ignore_case=True, verbose=True),
     "search_glob": searching("/usr/lib/*/*.1*", match=Match.GLOB),
@@ -111,6 +113,8 @@ QUERIES = {
     "inspect_strings": inspected(inspection.strings),
     "formatted_packages": formatted,
     "manifest": lambda spark, d: stored_index(spark, d).manifest,
+    "archives_parsed": lambda spark, d: archives.from_contents(archives.packed(stored_index(spark, d).manifest)).drop("pkg_ord"),
+    "archives_listed": lambda spark, d: archives.packed(stored_index(spark, d).manifest).groupBy("repo").agg(F.sum("packages").cast("long").alias("packages")),
     "sync_enabled": over_logs(lambda t: upkeep.enabled(t["sources"], t["config"])),
     "sync_stale": over_logs(lambda t: upkeep.stale(t["sources"], t["state"])),
     "sync_forced": over_logs(lambda t: upkeep.stale(t["sources"], t["state"], force=True)),
@@ -161,8 +165,6 @@ ORACLE_SQL = {
     "search_basename_dirs": _packages("basename = 'bin'"),
     "search_path": _m(f"SELECT repo, {_NAME} AS prefix, '' AS entry FROM manifest WHERE path = '/usr/bin/small-ring'"),
     "search_path_dir": _m(f"SELECT repo, {_NAME} AS prefix, '' AS entry FROM manifest WHERE path = '/usr/bin/'"),
-    "search_path_dir_without_flag": _packages("false"),
-    "search_path_relative": _packages("false"),
     "search_ci": _packages("basename_ci = 'small-ring' AND NOT is_dir"),
     "search_ci_path": _each(f"{_FOLD.format('path')} = '/usr/bin/small-ring' AND NOT is_dir"),
     "search_glob": _packages("regexp_full_match(path, '/usr/lib/[^/]*/[^/]*[.]1[^/]*') AND NOT is_dir"),
@@ -183,7 +185,7 @@ ORACLE_SQL = {
     "rendered_list": _m(f"SELECT *, {_WIDE} FROM (SELECT {_NAME} AS prefix, path AS entry FROM manifest WHERE starts_with(pkg, 'Supplier#00000000'))"),
     "inspect_summary": _m(f"""{_NODES}, p AS (SELECT repo, COUNT(*) AS packages, SUM(files_count)::BIGINT AS files FROM packages GROUP BY repo),
 b AS (SELECT repo, COUNT(*) AS basenames, COUNT(*) FILTER (postings = 1) AS single FROM names GROUP BY repo), n AS (SELECT repo, COUNT(*) AS paths FROM nodes GROUP BY repo), s AS (SELECT repo, COUNT(*) AS strings, SUM(strlen(string))::BIGINT AS string_bytes FROM strings GROUP BY repo)
-SELECT repo, packages, files, basenames, single, paths, strings, string_bytes, strings * 8 AS string_table_bytes, paths * 8 AS path_table_bytes, packages * 16 AS package_bytes, files * 4 AS file_bytes, basenames * 12 AS basename_bytes, (files - single) * 8 AS posting_bytes,
+SELECT repo, packages, files, basenames, single, paths, strings, string_bytes,
   round(files / paths, 2) AS files_per_path, round(100.0::DOUBLE * single / basenames, 1) AS single_percent FROM p JOIN b USING (repo) JOIN n USING (repo) JOIN s USING (repo)"""),
     "inspect_packages": _m(f"{_NODES} SELECT repo, pkg, version, files_count FROM packages"),
     "inspect_files": _m("SELECT file_ord, CASE WHEN is_dir THEN 'd' ELSE 'f' END AS flag, path FROM manifest WHERE repo = 'AMERICA' AND pkg = 'Supplier#000000005'"),
@@ -195,8 +197,10 @@ SELECT t.repo, t.id, q.id AS parent, regexp_replace(t.path, '^.*/', '') AS name,
     "formatted_packages": _m(f"""{_NODES}, f AS (SELECT repo, pkg, files_count * 4096 AS n, files_count AS c FROM packages), g AS (SELECT *, CAST(floor(20 * (c % 100) / 100.0) AS INTEGER) AS w FROM f)
 SELECT repo, pkg, CASE WHEN n <= 2048 THEN {_SIZE.format(1, 'B')} WHEN n / 1024.0 <= 2048 THEN {_SIZE.format(1024, 'KiB')} ELSE {_SIZE.format(1048576, 'MiB')} END AS size,
   CASE WHEN n < 1024 THEN printf('%.0f B', n / 1.0) WHEN n < 1048576 THEN {_SIZE.format(1024, 'KiB')} ELSE {_SIZE.format(1048576, 'MiB')} END AS progress_size,
-  strftime(epoch_ms(c * 86400000), '%Y-%m-%d %H:%M:%S UTC') AS time, rpad(CASE WHEN w > 0 THEN concat(repeat('=', w - 1), '>') ELSE '' END, 20, ' ') AS bar, pkg AS name FROM g"""),
+  strftime(epoch_ms(c * 86400000), '%Y-%m-%d %H:%M:%S UTC') AS time, rpad(CASE WHEN w > 0 THEN concat(repeat('=', w), '>') ELSE '' END, 20, ' ') AS bar, pkg AS name FROM g"""),
     "manifest": _m("SELECT * FROM manifest"),
+    "archives_parsed": _m("SELECT repo, pkg, version, file_ord, path, is_dir, basename, basename_ci FROM manifest"),
+    "archives_listed": _m("SELECT repo, COUNT(DISTINCT pkg_ord)::BIGINT AS packages FROM manifest GROUP BY repo"),
     "sync_enabled": _LOGS + "SELECT * FROM sources WHERE repo IN (SELECT repo FROM config)",
     "sync_stale": _LOGS + "SELECT repo, mtime FROM sources LEFT JOIN state USING (repo) WHERE source_mtime IS NULL OR source_mtime < mtime",
     "sync_forced": _LOGS + "SELECT * FROM sources",

@@ -9,48 +9,13 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__  # noqa: E402, F401  puts the package on the workers' path
 
+#: Two plain packages, and two that hold a file of the same name.
 TESTING = {
-    ("dhcpcd", "8.0.6-1"): """etc/
-etc/dhcpcd.conf
-usr/
-usr/bin/
-usr/bin/dhcpcd
-usr/lib/
-usr/lib/dhcpcd/
-usr/lib/dhcpcd/dev/
-usr/lib/dhcpcd/dev/udev.so
-usr/lib/dhcpcd/dhcpcd-hooks/
-usr/lib/dhcpcd/dhcpcd-hooks/01-test
-usr/lib/dhcpcd/dhcpcd-hooks/02-dump
-usr/lib/dhcpcd/dhcpcd-hooks/20-resolv.conf
-usr/lib/dhcpcd/dhcpcd-hooks/30-hostname
-usr/lib/dhcpcd/dhcpcd-run-hooks
-usr/lib/systemd/
-usr/lib/systemd/system/
-usr/lib/systemd/system/dhcpcd.service
-usr/lib/systemd/system/dhcpcd@.service
-usr/share/
-usr/share/dhcpcd/
-usr/share/dhcpcd/hooks/
-usr/share/dhcpcd/hooks/10-wpa_supplicant
-usr/share/dhcpcd/hooks/15-timezone
-usr/share/dhcpcd/hooks/29-lookup-hostname
-usr/share/licenses/
-usr/share/licenses/dhcpcd/
-usr/share/licenses/dhcpcd/LICENSE
-usr/share/man/
-usr/share/man/man5/
-usr/share/man/man5/dhcpcd.conf.5.gz
-usr/share/man/man8/
-usr/share/man/man8/dhcpcd-run-hooks.8.gz
-usr/share/man/man8/dhcpcd.8.gz
-var/
-var/lib/
-var/lib/dhcpcd/""".split(),
-    ("mkinitcpio", "1-1"): ["usr/", "usr/bin/", "usr/bin/mkinitcpio"],
+    ("lantern", "4.2-7"): ["opt/", "opt/lantern/", "opt/lantern/modes/", *(f"opt/lantern/modes/{m}" for m in ("blink", "dim", "steady")), "usr/", "usr/bin/", "usr/bin/lantern", "usr/bin/lantern-probe"],
+    ("Wick", "0.9-1"): ["usr/", "usr/bin/", "usr/bin/wick"],
 }
-for number, name, version in (("12", "java-openjfx-src", "12.0.2.u1-2"), ("11", "java11-openjfx-src", "11.0.3.u1-2")):
-    TESTING[name, version] = ["usr/", "usr/lib/", "usr/lib/jvm/", f"usr/lib/jvm/java-{number}-openjfx/", f"usr/lib/jvm/java-{number}-openjfx/javafx-src.zip", "usr/share/", "usr/share/licenses/", f"usr/share/licenses/{name}"]
+for _flavour in ("amber", "blue"):
+    TESTING[f"glass-{_flavour}", "1.0-3" if _flavour == "blue" else "1.0.11-3"] = ["usr/", "usr/share/", f"usr/share/glass-{_flavour}/", f"usr/share/glass-{_flavour}/pane.svg"]
 
 
 @pytest.fixture(scope="session")

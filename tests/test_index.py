@@ -150,7 +150,7 @@ def test_refresh(spark, tmp_path, mirror):
     config = Config([("testing", [f"{base}/404/$repo", server]), ("multilib", [server])], "x86_64")
     assert refresh.refresh(spark, config, index) == 0
     open_ = lambda: FileIndex.open(spark, index)
-    assert names(search.search(open_(), "mkinitcpio").select("prefix")) == [("testing/mkinitcpio",)]
+    assert names(search.search(open_(), "wick").select("prefix")) == [("testing/Wick",)]
     before = {r["repo"]: r["source_mtime"] for r in open_().state.collect()}
     # only what is newer is fetched again
     archive(root / "x86_64/multilib/multilib.files", {("pkg-c", "1-1"): ["usr/", "usr/c"]})
@@ -232,22 +232,21 @@ def test_stream(spark, watched):
         os.rename(watched / "new", watched / "archives/testing.files")
         packages = lambda: {r["pkg"] for r in FileIndex.open(spark, f"{watched}/index").packages.collect()}
         eventually(lambda: packages() == {"fresh"})
-        # a repository enabled meanwhile is taken up with the next change, one disabled dropped
+        # the configuration alone: a repository newly enabled is taken up, one disabled dropped
         (watched / "conf").write_text("[extra]\n")
-        os.utime(watched / "archives/extra.files", (time.time() + 9,) * 2)
         eventually(lambda: repos(spark, watched) == {"extra"})
     finally:
         query.stop()
 
 
 def test_inspection(spark, testing):
-    assert names(inspection.package_files(testing, "testing", "mkinitcpio")) == [(0, "d", "/usr/"), (1, "d", "/usr/bin/"), (2, "f", "/usr/bin/mkinitcpio")]
-    assert names(inspection.postings(testing, "mkinitcpio")) == [("testing", "f", "mkinitcpio", "/usr/bin/mkinitcpio")]
+    assert names(inspection.package_files(testing, "testing", "Wick")) == [(0, "d", "/usr/"), (1, "d", "/usr/bin/"), (2, "f", "/usr/bin/wick")]
+    assert names(inspection.postings(testing, "wick")) == [("testing", "f", "Wick", "/usr/bin/wick")]
     counted = {r["basename"]: (r["postings"], r["single"]) for r in inspection.basenames(testing).collect()}
-    assert counted["usr"] == (4, False) and counted["udev.so"] == (1, True)
+    assert counted["usr"] == (4, False) and counted["pane.svg"] == (2, False) and counted["dim"] == (1, True)
     trie = {r["resolved"]: r for r in inspection.path_trie(testing).collect()}
-    assert trie["/etc"]["parent"] is None and trie["/usr/bin"]["parent"] == trie["/usr"]["id"] and trie["/usr/bin"]["name"] == "bin"
-    assert ("testing", "12.0.2.u1-2") in names(inspection.strings(testing))
+    assert trie["/opt"]["parent"] is None and trie["/usr/bin"]["parent"] == trie["/usr"]["id"] and trie["/usr/bin"]["name"] == "bin"
+    assert ("testing", "1.0.11-3") in names(inspection.strings(testing))
     total = inspection.summary(testing).first()
     assert total["packages"] == 4 and total["files"] == sum(map(len, TESTING.values())) and total["paths"] == len(trie)
 
@@ -266,10 +265,13 @@ def test_command_line(spark, watched, capsys):
     run = lambda *a: (cli.main([*a, "-D", index, "-C", conf], spark), capsys.readouterr().out)
     assert run("x")[0] == 1  # no index yet
     assert run("--watch", f"{watched}/archives", "--oneshot") == (0, "")
-    assert run("mkinitcpio") == (0, "testing/mkinitcpio\n")
-    assert run("-l", "-q", "mkinitcpio") == (0, "/usr/\n/usr/bin/\n/usr/bin/mkinitcpio\n")
+    assert run("wick") == (0, "testing/Wick\n")
+    assert run("-l", "-q", "Wick") == (0, "/usr/\n/usr/bin/\n/usr/bin/wick\n")
     assert run("nothing") == (1, "") and run("-r", "*bad") == (1, "") and run() == (1, "")
-    assert run("--inspect", "packages")[1].splitlines()[0] == "testing\tdhcpcd\t8.0.6-1\t37"
+    assert run("--inspect", "packages")[1].splitlines()[0] == "testing\tWick\t0.9-1\t3"
+    assert run("--inspect", "basenames")[1].splitlines()[:2] == ["testing\tusr\t4\tFalse", "testing\tbin\t2\tFalse"]
+    assert run("--inspect", "files", "testing/Wick")[1].splitlines()[-1] == "2\tf\t/usr/bin/wick"
+    assert run("--inspect", "postings", "dim") == (0, "testing\tf\tlantern\t/opt/lantern/modes/dim\n") and run("--inspect", "files")[0] == 1
     with pytest.raises(SystemExit) as left:
         run("--nonsense")
     assert left.value.code == 2

@@ -74,10 +74,11 @@ def test_figures(spark):
     df = spark.createDataFrame([(0,), (1000,), (1024,), (2048,), (2049,), (3 << 20,), (5 << 30,)], "n long")
     got = [tuple(r) for r in df.select(text.humanized_total(F.col("n")), text.humanized_progress(F.col("n"))).collect()]
     assert got == [("0.0 B", "0 B"), ("1000.0 B", "1000 B"), ("1024.0 B", "1.0 KiB"), ("2048.0 B", "2.0 KiB"), ("2.0 KiB", "2.0 KiB"), ("3.0 MiB", "3.0 MiB"), ("5.0 GiB", "5.0 GiB")]
-    rates = spark.createDataFrame([(1.62 * 2**20 * 2,), (1116.0 * 1024,), (116.0,)], "v double").select(text.rate(F.col("v"))).collect()
-    assert [r[0] for r in rates] == ["3.24M/s", "1116K/s", "116B/s"]
+    rates = spark.createDataFrame([(7.25 * 1024,), (48.0 * 2**30,), (305.0,), (float("inf"),)], "v double").select(text.rate(F.col("v"))).collect()
+    assert [r[0] for r in rates] == ["7.25K/s", "48.0G/s", "305B/s", "----"]
     one = spark.createDataFrame([(" \ta b\n", "extra.files", 86_400, 5, 10)], "s string, f string, t long, n long, m long")
-    assert tuple(one.select(text.trimmed(F.col("s")), text.repo_of_file(F.col("f")), text.utc(F.col("t")), text.bar(F.col("n"), F.col("m"), 4)).first()) == ("a b", "extra", "1970-01-02 00:00:00 UTC", "=>  ")
+    assert tuple(one.select(text.trimmed(F.col("s")), text.repo_of_file(F.col("f")), text.utc(F.col("t")), text.bar(F.col("n"), F.col("m"), 4)).first()) == ("a b", "extra", "1970-01-02 00:00:00 UTC", "==> ")
+    assert [r[0] for r in spark.createDataFrame([(25,), (0,), (99,), (100,), (-3,)], "n long").select(text.bar(F.col("n"), F.lit(100))).collect()] == ["=====>".ljust(20), " " * 20, "=" * 19 + ">", "=" * 20, " " * 20]
     names = spark.createDataFrame([(n,) for n in (".files", "extra.files.000", "extra", ".db_version")], "f string").select(text.repo_of_file(F.col("f"))).collect()
     assert [r[0] for r in names] == [None] * 4
 

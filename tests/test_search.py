@@ -9,7 +9,7 @@ from .conftest import TESTING
 
 BINS = ("/bin/", "/usr/bin/")
 GLOB, REGEX = Match.GLOB, Match.REGEX
-HOOKS = "/usr/lib/dhcpcd/dhcpcd-hooks/"
+MODES = "/opt/lantern/modes/"
 
 
 def shown(index, target, mode="search", **options):
@@ -18,65 +18,73 @@ def shown(index, target, mode="search", **options):
     return "".join(render.printed(found, o.raw, o.eol))
 
 
-JAVA = "testing/java-openjfx-src\ntesting/java11-openjfx-src\n"
-DHCPCD, MKINITCPIO = "testing/dhcpcd\n", "testing/mkinitcpio\n"
+GLASS = "testing/glass-amber\ntesting/glass-blue\n"
+LANTERN, WICK = "testing/lantern\n", "testing/Wick\n"
 
 
 @pytest.mark.parametrize(
     ("target", "options", "expected"),
     [
-        ("javafx-src.zip", {}, JAVA),
-        (f"{HOOKS}01-test", {}, DHCPCD),
-        ("javafx-src.zip", {"verbose": True}, "testing/java-openjfx-src 12.0.2.u1-2  \t/usr/lib/jvm/java-12-openjfx/javafx-src.zip\ntesting/java11-openjfx-src 11.0.3.u1-2\t/usr/lib/jvm/java-11-openjfx/javafx-src.zip\n"),
-        (f"{HOOKS}*", {"match": GLOB}, DHCPCD),
-        (f"{HOOKS}*", {"match": GLOB, "verbose": True}, "".join(f"testing/dhcpcd 8.0.6-1\t{HOOKS}{h}\n" for h in ("01-test", "02-dump", "20-resolv.conf", "30-hostname"))),
-        ("filedoesntexist", {}, ""),
-        (HOOKS, {}, ""),
-        (HOOKS, {"directories": True}, DHCPCD),
-        (HOOKS.rstrip("/"), {"directories": True}, ""),
-        ("/usr/bin/dhcpcd", {"directories": True}, DHCPCD),
-        ("mKiNiTcPiO", {"ignore_case": True}, MKINITCPIO),
-        ("mK(i[NT]){2}cPiO", {"ignore_case": True, "match": REGEX}, MKINITCPIO),
-        ("/USR/LIB/dhcpcd/dhcpcd-hooks/01-TEST", {"ignore_case": True}, DHCPCD),
-        ("/usr/lib/WRONGDIR/01-test", {"ignore_case": True}, ""),
-        (HOOKS.upper(), {"ignore_case": True}, ""),
-        (HOOKS.upper(), {"ignore_case": True, "directories": True}, DHCPCD),
-        ("usr/bin/dhcpcd", {}, ""),
+        # a basename, a path, and what both print with versions
+        ("pane.svg", {}, GLASS),
+        (f"{MODES}dim", {}, LANTERN),
+        ("pane.svg", {"verbose": True}, "testing/glass-amber 1.0.11-3\t/usr/share/glass-amber/pane.svg\ntesting/glass-blue 1.0-3    \t/usr/share/glass-blue/pane.svg\n"),
+        ("unheard-of", {}, ""),
+        # patterns
+        (f"{MODES}?[il]*", {"match": GLOB}, LANTERN),
+        (f"{MODES}*", {"match": GLOB, "verbose": True}, "".join(f"testing/lantern 4.2-7\t{MODES}{m}\n" for m in ("blink", "dim", "steady"))),
+        ("PROBE$", {"ignore_case": True, "match": REGEX}, LANTERN),
+        # directories only where asked for, and only with their slash
+        (MODES, {}, ""),
+        (MODES, {"directories": True}, LANTERN),
+        (MODES[:-1], {"directories": True}, ""),
+        ("bin", {"directories": True}, WICK + LANTERN),
         ("/", {"directories": True}, ""),
         ("//", {"directories": True}, ""),
-        ("dhcpcd", {"quiet": True}, "dhcpcd\n"),
-        ("dhcpcd", {"quiet": True, "verbose": True, "binaries": True}, "testing/dhcpcd 8.0.6-1\t/usr/bin/dhcpcd\n"),
-        ("dhcpcd", {"binaries": True, "directories": True}, DHCPCD),
-        ("bin", {"directories": True}, DHCPCD + MKINITCPIO),
-        ("mkinitcpio", {"repo": "testing"}, MKINITCPIO),
-        ("mkinitcpio", {"repo": "nowhere"}, ""),
-        ("mkinitcpio", {"eol": "\0"}, "testing/mkinitcpio\0"),
+        # case
+        ("WICK", {}, ""),
+        ("WICK", {"ignore_case": True}, WICK),
+        ("/OPT/lantern/MODES/dim", {"ignore_case": True}, LANTERN),
+        ("/OPT/lamp/MODES/dim", {"ignore_case": True}, ""),
+        (MODES.upper(), {"ignore_case": True}, ""),
+        (MODES.upper(), {"ignore_case": True, "directories": True}, LANTERN),
+        # a path without its first slash is none
+        ("usr/bin/wick", {}, ""),
+        # output
+        ("lantern", {"quiet": True}, "lantern\n"),
+        ("lantern", {"quiet": True, "verbose": True, "binaries": True}, "testing/lantern 4.2-7\t/usr/bin/lantern\n"),
+        ("wick", {"eol": "\0"}, "testing/Wick\0"),
+        # restrictions
+        ("lantern", {"binaries": True, "directories": True}, LANTERN),
+        ("dim", {"binaries": True}, ""),
+        ("wick", {"repo": "testing"}, WICK),
+        ("wick", {"repo": "elsewhere"}, ""),
     ],
 )
 def test_search(testing, target, options, expected):
     assert shown(testing, target, **options) == expected
 
 
-def entries(pkg, prefix=None, width=0):
+def entries(pkg, quiet=False, width=0):
     paths = next(v for (name, _), v in TESTING.items() if name == pkg)
-    return "".join(f"{f'testing/{pkg}'.ljust(width)}\t/{p}\n" if prefix is None else f"/{p}\n" for p in sorted(paths))
+    return "".join(f"/{p}\n" if quiet else f"{f'testing/{pkg}'.ljust(width)}\t/{p}\n" for p in sorted(paths))
 
 
 @pytest.mark.parametrize(
     ("target", "options", "expected"),
     [
-        ("dhcpcd", {}, entries("dhcpcd")),
-        ("dhcpcd", {"directories": True, "verbose": True}, entries("dhcpcd")),
-        ("java.*src", {"match": REGEX}, entries("java-openjfx-src", width=26) + entries("java11-openjfx-src")),
-        ("java.*-openjfx-src", {"match": REGEX, "raw": True}, entries("java-openjfx-src") + entries("java11-openjfx-src")),
-        ("java*", {"match": GLOB}, entries("java-openjfx-src", width=26) + entries("java11-openjfx-src")),
-        ("dhcpcd", {"binaries": True}, "testing/dhcpcd\t/usr/bin/dhcpcd\n"),
-        ("java-openjfx-src", {"quiet": True}, entries("java-openjfx-src", "")),
-        ("testing/java-openjfx-src", {}, entries("java-openjfx-src")),
-        ("testing/java-openjfx-src", {"repo": "nowhere"}, entries("java-openjfx-src")),
-        ("DHCPCD", {"ignore_case": True}, entries("dhcpcd")),
+        ("lantern", {}, entries("lantern")),
+        ("lantern", {"directories": True, "verbose": True}, entries("lantern")),
+        ("^glass-.*e", {"match": REGEX}, entries("glass-amber") + entries("glass-blue", width=19)),
+        ("lass-.*", {"match": REGEX, "raw": True}, entries("glass-amber") + entries("glass-blue")),
+        ("glass-*", {"match": GLOB}, entries("glass-amber") + entries("glass-blue", width=19)),
+        ("lantern", {"binaries": True}, "".join(f"testing/lantern\t/usr/bin/{b}\n" for b in ("lantern", "lantern-probe"))),
+        ("glass-blue", {"quiet": True}, entries("glass-blue", quiet=True)),
+        ("testing/glass-blue", {}, entries("glass-blue")),
+        ("testing/glass-blue", {"repo": "elsewhere"}, entries("glass-blue")),
+        ("wick", {"ignore_case": True}, entries("Wick")),
+        ("wick", {}, ""),
         ("/usr/bin", {}, ""),
-        ("packagedoesntexist", {}, ""),
     ],
 )
 def test_list(testing, target, options, expected):
@@ -130,5 +138,6 @@ def test_pushdown(spark, tmp_path):
     index = FileIndex.open(spark, str(tmp_path))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(basename,a)" in plan(search.search(index, "a"))
+    assert plan(listing.list_files(index, "a")).count("EqualTo(pkg,a)") >= 2  # the manifest's scan too
     assert "StringStartsWith(path,/usr/bin/)" in plan(search.search(index, "/usr/bin/*", Options(match=GLOB)))
     assert "isnotnull(repo" in plan(search.search(index, "a", Options(repo="r"))).split("PartitionFilters")[1].split("PushedFilters")[0]
