@@ -85,3 +85,89 @@ def test_copies_have_the_fraction_as_probability(spark):
     # and a source's words miss its target by its longest document at most, but for short ones' chance
     off = got.groupby(got["doc_id"] // 1000)["taken"].sum() - got["target"].iloc[0]
     assert abs(off).max() <= 900 + 5 * 40**0.5
+
+
+def test_decontamination_recall():
+    """Share of items found that are edited in 5, 10 and 20 % of their words, at the registered settings."""
+    rng = np.random.default_rng(21)
+    made = [rng.integers(1, 2**40, int(n)) for n in rng.integers(15, 90, 60)]
+    items = contamination.Items(made)
+    for rate in (0.05, 0.1, 0.2):
+        found = 0
+        for i, item in enumerate(made):
+            run = item.tolist()
+            for _ in range(int(rate * len(run))):
+                at = int(rng.integers(0, len(run)))
+                how = int(rng.integers(0, 3))
+                run[at : at + (how != 1)] = [int(rng.integers(2**41, 2**42))] * (how != 2)
+            text = np.concatenate([rng.integers(2**43, 2**44, 40), np.array(run, np.int64), rng.integers(2**43, 2**44, 40)])
+            found += i in [h[0] for h in items.found([text])[0]]
+        assert found >= 0.9 * len(made), (rate, found)
+
+
+def test_near_duplicate_recall(spark):
+    """Links of isolated pairs about the threshold, at the registered settings."""
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((1500, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise = rng.standard_normal((1500, 48))
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.97, (1500, 1))
+    b = cosine * a + np.sqrt(1 - cosine**2) * noise
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = neardup.joined(df).toPandas().set_index("vec_id")
+    near = np.concatenate([a, b]) @ np.concatenate([a, b]).T >= neardup.COSINE
+    np.fill_diagonal(near, False)
+    assert (got.loc[range(3000), "n_links"].to_numpy() <= near.sum(1)).all()
+    assert got["n_links"].sum() >= 0.97 * near.sum()
+
+
+def test_hot_buckets_tie_to_every_near_leader():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 40, 600))
+    sketches = rng.integers(0, 2**63, (12, 4), dtype=np.uint64)[rng.integers(0, 12, 600)] ^ (np.uint64(1) << rng.integers(0, 64, (600, 4)).astype(np.uint64))
+    member, leader, leads = neardup.led(keys, sketches, 60)
+    apart = lambda i, j: int(np.bitwise_count(sketches[i] ^ sketches[j]).sum())
+    want = {(i, j) for i in np.flatnonzero(~leads) for j in np.flatnonzero(leads) if keys[i] == keys[j] and apart(i, j) <= 60}
+    assert set(zip(member.tolist(), leader.tolist(), strict=True)) == want
+    assert all(any(i == m for m, _ in want) for i in np.flatnonzero(~leads))
+
+
+@pytest.mark.parametrize("linkers", [1, 2, 50])
+def test_linkers_of_a_blocked_host_are_blocked(spark, linkers):
+    link = '<a href="https://bad.net/z">'
+    pages = [(0, "http://bad.net/es/", ""), (1, "http://bad.net/about", ""), (2, "http://calm.org/", '<a href="https://good.com/">'), (3, "http://good.com/", "")]
+    pages += [(10 + i, f"http://farm{i}.org/", link) for i in range(linkers)]
+    pages += [(4, "http://bad.net/es/2", ""), (5, "http://bad.net/fr/3", "")]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[10 + i] == "block" for i in range(linkers)) and got[2] == got[3] == "allow"
+    # three of bad.net's four pages are blocked by rules, and who links to it never clears it
+    assert got[1] == "block"
+
+
+def test_events_of_earlier_turns(spark):
+    """Edits and regenerations that name a turn reach it across others, deltas go on where they belong."""
+    log = [
+        (1, 1, "user", "How?", "message", None), (1, 2, "assistant", "So", "delta", None), (1, 3, "user", "And?", "message", None), (1, 4, "assistant", "Thus", "message", None),
+        (1, 5, "assistant", "Like", "edit", 2), (1, 6, "user", "Why?", "edit", 1), (1, 7, "assistant", " that", "delta", 2), (1, 8, "assistant", None, "regenerate", 4), (1, 9, "assistant", "Hence", "delta", 4),
+        (1, 10, "user", "lost", "edit", 77), (2, 1, "assistant", "x", None, None),
+    ]
+    df = spark.createDataFrame(log, "Conv_ID long, turn long, role string, text string, kind string, ref long")
+    got = chat.messages(df, conv="Conv_ID", kind="kind", ref="ref").orderBy("conv_id", "turn").collect()
+    assert [tuple(r) for r in got] == [(1, 0, "user", "Why?"), (1, 1, "assistant", "Like that"), (1, 2, "user", "And?"), (1, 3, "assistant", "Hence"), (1, 4, "user", "lost"), (2, 0, "assistant", "x")]
+
+
+def test_names_clash_whatever_their_case(spark):
+    long = " ".join(f"w{i % 977}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, long, "a", 7), (2, "short text", None, 8), (None, None, "a", 9)], "doc_id long, text string, source string, Shard int").withColumn("SIZE", F.lit("x")).withColumn("Score", F.lit(1))
+    placed = sharding.shard(docs)
+    assert placed.columns == ["doc_id", "text", "source", "Score", "size", "text_crc32", "shard", "slot"] and placed.count() == 3
+    assert sharding.shard(docs, adding=("shard", "slot")).columns == ["doc_id", "text", "source", "SIZE", "Score", "shard", "slot"]
+    assert mixing.mix(docs).columns == docs.columns
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.scored(docs, labels).columns == ["doc_id", "text", "source", "Shard", "SIZE", "held_out", "score", "predicted"]
+    bench = spark.createDataFrame([(1, "w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string")
+    kept = contamination.clean(docs, bench)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2, None]
+    assert zlib.crc32(long.encode()) in {r["text_crc32"] for r in placed.collect()} and common.shared_folder(spark)
