@@ -6,11 +6,15 @@ similarity of their sets is 0.8 or more.
 
 1. Documents with equal sets form a class; only classes are compared.
 2. Candidates: classes that agree on all 6 MinHash values of one of 28 bands. At similarity 0.8 a
-   pair is missed once in 5,000; at 0.9 practically never. Band keys alone are shuffled, and a
-   window ties each class to the smallest of its bucket, so that buckets yield one row a member.
-3. Connected components of these ties are the clusters in which pairs can link. Large clusters are
-   cut into chunks, and each pair of chunks is one group of bounded size; the sets of cluster
-   members, and only theirs, are brought together there.
+   pair is missed once in 5,000; at 0.9 practically never. Band keys alone are shuffled, added up
+   before they are sent, and each class is tied to the smallest of its bucket, so that buckets
+   yield one row a member. Classes go by 64 bits here: a clash compares more, it can't link more.
+3. Connected components of these ties are the clusters in which pairs can link; a pair of a cluster
+   is compared whether or not it shares a bucket. A cluster of more than MOST_CHUNKS chunks, such as
+   one that common passages chain together, is compared bucket by bucket instead, a pair in the
+   first bucket that it shares. Clusters and buckets are cut into chunks, and each pair of chunks is
+   one group of bounded size; the sets of members, and only theirs, are brought together there, with
+   their MinHash values.
 4. In a group the MinHash values are compared 28 at a time. After n values with m matches, a pair
    goes if P(similarity >= 0.8 | m, n), under a uniform prior, falls below 1e-6. What stays is
    verified on the sets themselves.
@@ -42,6 +46,8 @@ HASHES = BANDS * BAND_ROWS
 STEP, TOLERANCE = 28, 1e-6
 #: Classes and shingles in a chunk, on average: a group holds two chunks at most.
 CHUNK, CHUNK_SHINGLES = 512, 1_000_000
+#: Chunks of a cluster up to which all of them are compared with each other.
+MOST_CHUNKS = 32
 #: Cluster members up to which (some 80 bytes a row) they are broadcast to the documents.
 BROADCAST_MEMBERS = 1_000_000
 _random = np.random.default_rng(20_24)
@@ -173,17 +179,25 @@ def linked(sets: list[np.ndarray], signatures: np.ndarray, left: np.ndarray, rig
     return i[keep], j[keep]
 
 
+#: What a group of `compared` has in common: a cluster (or a bucket of a large one) and two chunks.
+GROUP = ["bucket", "cluster", "lo", "hi"]
+
+
 def compared(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """class, links, root for the classes of each group. Groups are runs of (cluster, lo, hi)."""
-    for g in whole_groups(groups, ["cluster", "lo", "hi"]):
+    """class, links, root for the classes of each group. Groups are runs of GROUP."""
+    for g in whole_groups(groups, GROUP):
         sets = [np.frombuffer(s, np.uint64) for s in g["set"]]
-        signatures = np.stack([minhashes(s) for s in sets])
+        signatures = np.frombuffer(b"".join(g["signature"]), np.uint32).reshape(-1, HASHES)
         chunk, copies = g["chunk"].to_numpy(), g["copies"].to_numpy()
         left, right = np.flatnonzero(chunk == g["lo"].iloc[0]), np.flatnonzero(chunk == g["hi"].iloc[0])
         if g["lo"].iloc[0] == g["hi"].iloc[0]:
             right = left
         i, j = linked(sets, signatures, left, right)
         i, j = left[i], right[j]
+        if g["bucket"].iloc[0] and len(i):  # other buckets have the pairs that share an earlier one
+            keys = band_keys(signatures)
+            first = keys[i, (keys[i] == keys[j]).argmax(axis=1)] == g["cluster"].iloc[0]
+            i, j = i[first], j[first]
         links = np.bincount(i, copies[j], len(g)) + np.bincount(j, copies[i], len(g))
         some = links > 0
         if some.any():
@@ -198,29 +212,40 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """
     prints = settled(fingerprinted(docs, text, doc_id))
     classes = settled(prints.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    buckets = classes.select("class", F.explode("bands").alias("key"))
-    by_key = F.expr("min(class) OVER (PARTITION BY key)")
-    ties = buckets.select("class", by_key.alias("hub")).where("class <> hub").distinct()
-    clusters = settled(components(ties, "class", "hub"))
-    sized = clusters.withColumnRenamed("node", "class").join(classes.drop("bands"), "class")
-    chunks = sized.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    members = sized.join(chunks, "component")
-    members = settled(members.select("class", F.col("component").alias("cluster"), "copies", "chunks", F.pmod(F.xxhash64("class"), "chunks").cast("int").alias("chunk"), F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h")))
+    node = F.xxhash64("class").alias("node")
+    buckets = classes.select(node, F.explode("bands").alias("key"))
+    hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    ties = buckets.join(hubs, "key").select("node", "hub").where("node <> hub").distinct()
+    clusters = settled(components(ties, "node", "hub"))
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("size") / CHUNK_SHINGLES)).cast("int").alias("chunks")
+    chunk = F.pmod(F.xxhash64("class"), "chunks").cast("int").alias("chunk")
+    sized = classes.withColumn("node", node).join(clusters, "node").select("class", F.col("component").alias("cluster"), "copies", "size", F.col("first.doc_id").alias("_id"), F.col("first.h").alias("_h"))
+    members = settled(sized.join(sized.groupBy("cluster").agg(parts), "cluster").select("class", "cluster", "copies", "chunks", chunk, "_id", "_h"))
     rows = docs.select(F.col(doc_id).alias("_d"), F.xxhash64(F.col(text)).alias("_x"), F.col(text).alias("_t"))
     # one row a class even where id and text are repeated
     rows = rows.join(small_side(members, BROADCAST_MEMBERS), F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_x") == F.col("_h")))
     rows = rows.select("class", "cluster", "copies", "chunks", "chunk", word_hashes(F.col("_t")).alias("words"))
-    schema = "class binary, cluster binary, copies long, chunks int, chunk int, set binary"
+    schema = "class binary, cluster long, copies long, chunks int, chunk int, set binary, signature binary"
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = pa.array([shingle_set(w).tobytes() for w in lists(b.column("words"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], sets], names=[*b.schema.names[:5], "set"])
+            sets = [shingle_set(w) for w in lists(b.column("words"))]
+            made = [pa.array([x.tobytes() for x in of], pa.binary()) for of in (sets, map(minhashes, sets))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *made], names=[*b.schema.names[:5], "set", "signature"])
 
     sets = rows.mapInArrow(with_sets, schema).dropDuplicates(["class"])
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    placed = sets.withColumn("_o", other).select("class", "cluster", "copies", "chunk", "set", F.least("chunk", "_o").alias("lo"), F.greatest("chunk", "_o").alias("hi"))
-    placed = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    large = members.where(F.col("chunks") > MOST_CHUNKS)
+    placed = sets.withColumn("bucket", F.lit(False))
+    if not large.isEmpty():
+        sets = settled(sets)
+        at = classes.join(large.select("class"), "class").select("class", "size", F.explode("bands").alias("cluster"))
+        cut = at.groupBy("cluster").agg(parts, F.count("*").alias("n")).where("n > 1").drop("n")
+        at = at.join(cut, "cluster").select("class", "cluster", "chunks", chunk)
+        by_bucket = sets.select("class", "copies", "set", "signature").join(at, "class").withColumn("bucket", F.lit(True))
+        placed = sets.where(F.col("chunks") <= MOST_CHUNKS).withColumn("bucket", F.lit(False)).unionByName(by_bucket)
+    placed = placed.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = placed.select("class", "cluster", "bucket", "copies", "chunk", "set", "signature", F.least("chunk", "_o").alias("lo"), F.greatest("chunk", "_o").alias("hi"))
+    placed = placed.repartition(*GROUP).sortWithinPartitions(*GROUP)
     found = settled(placed.mapInPandas(compared, "class binary, links long, root binary"))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     groups = components(found.select("class", "root"), "class", "root")

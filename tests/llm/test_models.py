@@ -197,6 +197,25 @@ def test_groups_larger_than_a_chunk(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in got} == {(59, 0)}
 
 
+def test_large_clusters_are_compared_by_bucket(spark, monkeypatch):
+    df = spark.createDataFrame([*near_texts(), *[(5000 + i, " ".join([*(f"w{k}" for k in range(100)), f"x{i}"])) for i in range(60)]], DOCS)
+    by_cluster = sorted(map(tuple, jaccard.links(df).collect()))
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    monkeypatch.setattr(jaccard, "MOST_CHUNKS", 1)
+    assert sorted(map(tuple, jaccard.links(df).collect())) == by_cluster
+
+
+def test_a_chain_of_texts_is_no_group(spark):
+    # each text shares 0.787 of its shingles with the next: tied from end to end, and no two link
+    n = 20_000
+    at = F.transform(F.sequence(F.lit(0), F.lit(45)), lambda k: F.concat(F.lit("w"), F.col("id") * 5 + k))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(at, " ").alias("text"))
+    twin = spark.createDataFrame([(n + i, " ".join(f"w{i * 5 + k}" for k in range(45))) for i in (7, 11_000)], DOCS)
+    got = jaccard.links(df.unionAll(twin)).where("n_links > 0").select("doc_id", "component_id", "n_links").collect()
+    # 41 of 42 shingles with text i, 37 of 46 with the one before, 36 of 47 with the one after
+    assert sorted(map(tuple, got)) == sorted(r for i in (7, 11_000) for r in [(i - 1, i - 1, 1), (i, i - 1, 1), (n + i, i - 1, 2)])
+
+
 def test_pruning_bounds():
     for n, m in jaccard.LEAST.items():
         tail = lambda k: sum(math.comb(n + 1, i) * 0.8**i * 0.2 ** (n + 1 - i) for i in range(k + 1))  # noqa: E731, B023
