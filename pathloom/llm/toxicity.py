@@ -47,7 +47,7 @@ BROADCAST_LABELS = 2_000_000
 #: Texts with copies up to which (20 bytes a row) they are broadcast.
 BROADCAST_COPIED = 1_000_000
 SPLIT = r"[^\p{L}\p{N}]+"
-WORDS = re.compile(r"[^\W_]+")
+WORDS = re.compile(r"([^\W_]+)")
 WINDOW = 6
 OPENING, CLOSING = "\"“«„‘‹", "\"”»“’›"
 ADDRESS = frozenset("you your yours youre u tu toi vous du dich dir ihr euch usted ustedes vosotros eres".split())
@@ -144,6 +144,8 @@ class Automaton:
         while todo:
             node = todo.pop()
             edits = found[node] + 1
+            if edits > self.slack[node]:
+                continue
             for child in self.children[node].values():
                 if edits <= self.slack[child] and edits < found.get(child, 9):
                     found[child] = edits
@@ -162,11 +164,16 @@ class Automaton:
         if to is None:
             found: dict[int, int] = {}
             for node, edits in self.sets[state].items():
+                if edits >= self.slack[node]:  # nothing below bears one more
+                    child = self.children[node].get(c)
+                    if child is not None and edits <= self.slack[child] and edits < found.get(child, 9):
+                        found[child] = edits
+                    continue
                 for letter, child in self.children[node].items():
                     e = edits + (letter != c)
                     if e <= self.slack[child] and e < found.get(child, 9):
                         found[child] = e
-                if edits + 1 <= self.slack[node] and edits + 1 < found.get(node, 9):
+                if edits + 1 < found.get(node, 9):
                     found[node] = edits + 1
             to = self.moves[state][c] = self.name(found) if found else -1
         return to
@@ -175,12 +182,14 @@ class Automaton:
         """The fewest edits with which the word meets a term, or -1, and the largest weight at that."""
         if len(self.sets) > self.MOST_STATES:
             self.reset()
-        state, best = self.start, (9, 0.0)
+        state, best, moves, begun = self.start, (9, 0.0), self.moves, self.begun
         for c in word:
-            state = self.step(state, c)
+            to = moves[state].get(c)
+            state = self.step(state, c) if to is None else to
             if state < 0:
                 break
-            best = min(best, self.begun[state])
+            if begun[state] < best:
+                best = begun[state]
         else:
             best = min(best, self.ended[state])
         return (best[0], -best[1]) if best[0] < 9 else (-1, 0.0)
@@ -203,26 +212,27 @@ class Reader:
         return e
 
     def counts(self, text: str) -> tuple[float, float, float, float]:
-        low = text.lower()
-        words = set(WORDS.findall(low))
-        hits = {w: e for w in words if (e := self.meet(w))[0] >= 0}
+        parts = WORDS.split(text.lower())  # what is between words, and the words
+        words = parts[1::2]
+        hits = {w: e for w in set(words) if (e := self.meet(w))[0] >= 0}
         if not hits:
             return 0.0, 0.0, 0.0, 0.0
         plain = spelled = quoted = address = 0.0
-        places = [m for m in WORDS.finditer(low)]
-        for i, m in enumerate(places):
-            edits, weight = hits.get(m.group(), (-1, 0.0))
-            if edits < 0:
+        between = "".join(parts[::2])
+        marks = [(o, c) for o, c in zip(OPENING, CLOSING, strict=True) if o in between and c in between]
+        for i, word in enumerate(words):
+            if word not in hits:
                 continue
-            a, b = places[max(0, i - WINDOW)].start(), places[min(len(places) - 1, i + WINDOW)].end()
-            before, after = low[a : m.start()], low[m.end() : b]
-            if any(before.count(o) > (before.count(c) if o != c else 0) and c in after for o, c in zip(OPENING, CLOSING, strict=True)):
+            edits, weight = hits[word]
+            a, b = max(0, i - WINDOW), min(len(words) - 1, i + WINDOW)
+            before, after = ("".join(parts[2 * a + 2 : 2 * i + 1 : 2]), "".join(parts[2 * i + 2 : 2 * b + 1 : 2])) if marks else ("", "")
+            if any(before.count(o) > (before.count(c) if o != c else 0) and c in after for o, c in marks):
                 quoted += weight
             elif edits:
                 spelled += weight
             else:
                 plain += weight
-            address += weight * any(p.group() in ADDRESS for p in places[max(0, i - WINDOW) : i + WINDOW + 1])
+            address += weight * (not ADDRESS.isdisjoint(words[a : b + 1]))
         return tuple(math.log1p(x) for x in (plain, spelled, quoted, address))
 
 
