@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, jaccard, lm, merkle, mixing, neardup, secrets, sharding, toxicity, urlfilter
+from . import chat, contamination, jaccard, lm, merkle, mixing, neardup, prefixtrie, secrets, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op9_score_lm(spark, sf_dir):
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op11_share_prefixes(spark, sf_dir):
+    return prefixtrie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle_manifest(spark, sf_dir):
     return merkle.checked(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_join_ngrams": op8_join_ngrams,
     "op9_score_lm": op9_score_lm,
     "op10_decontaminate": op10_decontaminate,
+    "op11_share_prefixes": op11_share_prefixes,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
@@ -69,5 +74,6 @@ ORACLE_SQL = {
     "op3_mix_sources": mixing.ORACLE,
     "op7_format_chats": chat.ORACLE,
     "op8_join_ngrams": jaccard.ORACLE,
+    "op11_share_prefixes": prefixtrie.ORACLE,
     "op12_merkle_manifest": merkle.ORACLE,
 }
