@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, contamination, jaccard, lm, merkle, mixing, neardup, prefixtrie, secrets, sharding, toxicity, urlfilter
+from . import chat, contamination, jaccard, lm, merkle, mixing, neardup, pii, prefixtrie, secrets, sharding, toxicity, urlfilter
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op12_merkle_manifest(spark, sf_dir):
     return merkle.checked(table(spark, sf_dir, "documents"))
 
 
+def op13_find_personal_data(spark, sf_dir):
+    return pii.digested(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_filter_urls": op1_filter_urls,
     "op2_score_toxicity": op2_score_toxicity,
@@ -67,6 +71,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_share_prefixes": op11_share_prefixes,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_find_personal_data": op13_find_personal_data,
 }
 
 ORACLE_SQL = {
