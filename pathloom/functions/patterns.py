@@ -7,17 +7,11 @@ import re
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: POSIX class names and the Java classes that hold the same ASCII characters.
-POSIX = {
-    "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": r"\p{Digit}", "graph": r"\p{Graph}",
-    "lower": r"\p{Lower}", "print": r"\p{Print}", "punct": r"\p{Punct}", "space": r"\s\x0B", "upper": r"\p{Upper}", "word": r"\w", "xdigit": r"\p{XDigit}",
-}
-NEVER = "(?!)"
-
+from . import literals, perl
+from .literals import Needed
+from .perl import NEVER, POSIX, PatternError, quoted
 
-class PatternError(ValueError):
-    """A pattern that doesn't compile or has no equivalent."""
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_fold(c: Column) -> Column:
@@ -43,10 +37,6 @@ def as_bytes_view(pattern: str) -> str:
     return pattern.encode("utf-8").decode("latin-1")
 
 
-def _quoted(c: str) -> str:
-    return c if c.isalnum() and c.isascii() or c == "_" else f"\\x{{{ord(c):x}}}"
-
-
 def _bracket(glob: str, at: int, ignore_case: bool) -> tuple[str, int] | None:
     """The Java form of the bracket expression that opens at `at`, and where it ends; None if it never closes."""
     i, members, negated = at + 1, [], False
@@ -83,9 +73,9 @@ def _bracket(glob: str, at: int, ignore_case: bool) -> tuple[str, int] | None:
                 high = glob[i]
             i += 1
             if c <= high:
-                members.append(f"{_quoted(c)}-{_quoted(high)}")
+                members.append(f"{quoted(c)}-{quoted(high)}")
             continue
-        members.append(_quoted(c))
+        members.append(quoted(c))
     return None
 
 
@@ -106,67 +96,48 @@ def glob_to_regex(glob: str, ignore_case: bool = False) -> str:
             if i + 1 == len(glob):
                 return NEVER
             i += 1
-            out.append(_quoted(glob[i]))
+            out.append(quoted(glob[i]))
         elif c == "[":
             found = _bracket(glob, i, ignore_case)
             if found is None:
                 if glob.endswith("-"):
                     return NEVER
-                out.append(_quoted(c))
+                out.append(quoted(c))
             else:
                 out.append(found[0])
                 i = found[1] - 1
         else:
-            out.append(_quoted(c))
+            out.append(quoted(c))
         i += 1
     return f"(?{'di' if ignore_case else 'd'})\\A(?:{''.join(out)})\\z"
 
 
+def glob_literals(glob: str) -> Needed:
+    """The literal stretches of a glob, between wildcards and brackets."""
+    out, run, i = literals.ANYTHING, "", 0
+    while i < len(glob):
+        c, ends = glob[i], None
+        if c == "[" and (found := _bracket(glob, i, False)):
+            ends = found[1]
+        elif c in "*?":
+            ends = i + 1
+        if ends is None:
+            i += c == "\\" and i + 1 < len(glob)
+            run += glob[i]
+            i += 1
+        else:
+            out, run, i = literals.both(out, literals.of_text(run)), "", ends
+    return literals.both(out, literals.of_text(run))
+
+
 def literal_prefix(glob: str) -> str:
     """What every match of the glob begins with."""
     return re.split(r"[*?\[\\]", glob, maxsplit=1)[0]
 
 
-#: Constructs without a Java equivalent.
-UNSUPPORTED = re.compile(r"\(\?(?:R|\d+|[+-]\d+|&|P>|P=|\(|\|)|\\K|\(\*[A-Z]")
-
-
 def perl_to_java(pattern: str, ignore_case: bool = False) -> str:
     """An unanchored Java pattern that means what the Perl-style one does to bytes."""
-    if UNSUPPORTED.search(pattern):
-        raise PatternError(f"unsupported construct in pattern: {pattern}")
-    out, i, inside = [], 0, False
-    while i < len(pattern):
-        c = pattern[i]
-        if c == "\\":
-            out.append(pattern[i : i + 2])
-            i += 2
-            continue
-        if inside:
-            named = re.match(r"\[:(\^?)([a-z]+):\]", pattern[i:])
-            if named:
-                if named[2] not in POSIX:
-                    raise PatternError(f"unknown POSIX class: {named[0]}")
-                out.append(f"[^{POSIX[named[2]]}]" if named[1] else POSIX[named[2]])
-                i += len(named[0])
-                continue
-            if c == "]":
-                inside = False
-            out.append("\\" + c if c in "[&~" else c)
-        elif c == "[":
-            inside = True
-            head = re.match(r"\[\^?\]?", pattern[i:])[0]
-            out.append(head[:-1] + r"\]" if head.endswith("]") else head)
-            i += len(head)
-            continue
-        elif pattern.startswith("(?P<", i):
-            out.append("(?<")
-            i += 4
-            continue
-        else:
-            out.append(c)
-        i += 1
-    return f"(?{'di' if ignore_case else 'd'})" + "".join(out)
+    return perl.java(pattern, ignore_case)
 
 
 def compiled(spark: SparkSession, java: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import humanized_total, utc
+from ..plans import statistics
 from ..plans.catalog import FileIndex
 
 
@@ -15,13 +17,13 @@ def package_table(index: FileIndex) -> DataFrame:
 def package_files(index: FileIndex, repo: str, pkg: str) -> DataFrame:
     """file_ord, flag, path of the first package of that name, in the archive's order."""
     first = index.packages.where((F.col("repo") == repo) & (F.col("pkg") == pkg)).groupBy("repo").agg(F.min("pkg_ord").alias("pkg_ord"))
-    rows = index.manifest.where((F.col("repo") == repo) & (F.col("pkg") == pkg)).join(first, ["repo", "pkg_ord"], "left_semi")
+    rows = index.by_package.where((F.col("repo") == repo) & (F.col("pkg") == pkg)).join(first, ["repo", "pkg_ord"], "left_semi")
     return rows.select("file_ord", F.when(F.col("is_dir"), "d").otherwise("f").alias("flag"), "path")
 
 
 def basenames(index: FileIndex) -> DataFrame:
     """repo, basename, postings, single: a basename met once needs no list of its own."""
-    return index.manifest.groupBy("repo", "basename").agg(F.count("*").alias("postings")).withColumn("single", F.col("postings") == 1)
+    return statistics.basenames(index.manifest)
 
 
 def postings(index: FileIndex, basename: str) -> DataFrame:
@@ -30,10 +32,7 @@ def postings(index: FileIndex, basename: str) -> DataFrame:
 
 def path_nodes(index: FileIndex) -> DataFrame:
     """repo, path: every listed path and every prefix of one, without trailing slashes."""
-    parts = F.split(F.regexp_replace("path", "^/|/$", ""), "/")
-    distinct = index.manifest.select("repo", F.regexp_replace("path", "/$", "").alias("path")).distinct()
-    prefix = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.concat(F.lit("/"), F.array_join(F.slice("parts", F.lit(1), n), "/")))
-    return distinct.select("repo", parts.alias("parts")).select("repo", F.explode(prefix).alias("path")).distinct()
+    return statistics.path_nodes(index.manifest)
 
 
 def path_trie(index: FileIndex) -> DataFrame:
@@ -47,17 +46,36 @@ def path_trie(index: FileIndex) -> DataFrame:
 
 def strings(index: FileIndex) -> DataFrame:
     """repo, string: path components, package names, versions and the repository's own name."""
-    parts = path_nodes(index).select("repo", F.substring_index("path", "/", -1).alias("string"))
-    names = index.packages.select("repo", F.explode(F.array("repo", "pkg", "version")).alias("string"))
-    return parts.union(names).distinct()
+    return statistics.strings(index.manifest)
 
 
-def summary(index: FileIndex) -> DataFrame:
-    """One row a repository: counts, bytes of names, and ratios."""
-    by_package = index.packages.groupBy("repo").agg(F.count("*").alias("packages"), F.sum("files_count").alias("files"))
-    by_name = basenames(index).groupBy("repo").agg(F.count("*").alias("basenames"), F.count_if("single").alias("single"))
-    nodes = path_nodes(index).groupBy("repo").agg(F.count("*").alias("paths"))
-    text = strings(index).groupBy("repo").agg(F.count("*").alias("strings"), F.sum(F.octet_length("string")).alias("string_bytes"))
-    all_ = by_package.join(by_name, "repo").join(nodes, "repo").join(text, "repo")
+def counted(index: FileIndex) -> DataFrame:
+    """repo and its counts: as the snapshot has them, or counted where there is none."""
+    if index.pinned is None:
+        return statistics.by_repo(index.manifest)
+    rows = [(name, *[int(f[c]) for c in statistics.COUNTS]) for name, f in index.pinned.repos.items() if f["files"]]
+    return index.manifest.sparkSession.createDataFrame(rows, "repo string, " + ", ".join(f"{c} long" for c in statistics.COUNTS))
+
+
+def _with_ratios(counts: DataFrame) -> DataFrame:
     ratios = {"files_per_path": F.round(F.col("files") / F.col("paths"), 2), "single_percent": F.round(100.0 * F.col("single") / F.col("basenames"), 1)}
-    return all_.withColumns(ratios)
+    return counts.withColumns(ratios)
+
+
+def summary(index: FileIndex) -> DataFrame:
+    """One row a repository: counts, bytes of names, and ratios. Of an index on disk no row is read: counts are kept with the snapshot."""
+    return _with_ratios(counted(index))
+
+
+def sources(index: FileIndex) -> DataFrame:
+    """One row a repository: its archive's time and bytes, when it was indexed, and how many files and bytes of names it holds."""
+    known = index.pinned.repos if index.pinned else {}
+    rows = [(name, f.get("source_mtime"), f.get("file_size"), f.get("indexed_at"), f["files"], f.get("string_bytes", 0)) for name, f in known.items()]
+    df = index.manifest.sparkSession.createDataFrame(rows, "repo string, mtime long, size long, indexed long, files long, string_bytes long")
+    return df.select("repo", utc(F.col("mtime")).alias("source_time"), humanized_total(F.col("size")).alias("source_size"), utc(F.col("indexed")).alias("indexed"), "files", "string_bytes")
+
+
+def total(index: FileIndex) -> DataFrame:
+    """One row over all repositories, of what adds up: packages, files, paths and bytes of names are counted a repository."""
+    c = counted(index)
+    return c.agg(F.count("*").alias("repos"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("packages", "files", "paths", "string_bytes")])

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import predicates
-from ..functions.patterns import as_bytes_view, compiled, perl_to_java
+from ..functions import literals, perl, predicates
+from ..functions.patterns import as_bytes_view, compiled, fold, glob_literals, perl_to_java
 from ..options import Match, Options
+from ..plans import trigrams
 from ..plans.catalog import FileIndex
 
+#: Rows of a manifest from which looking trigrams up is cheaper than reading every path.
+LARGE = 20_000_000
+
 
 def checked(index: FileIndex, query: str, options: Options) -> None:
     """Raise PatternError before anything runs if the query doesn't compile."""
@@ -34,6 +38,22 @@ def matching(query: str, options: Options) -> Column:
     return predicates.exact(query, options.ignore_case, options.directories)
 
 
+def needed(query: str, options: Options) -> literals.Needed:
+    """Literals that a path found by a glob or regular expression holds."""
+    if options.match is Match.GLOB:
+        return tuple(frozenset(map(fold, choice)) for choice in glob_literals(as_bytes_view(query)))
+    return perl.needed(as_bytes_view(query)) if options.match is Match.REGEX else literals.ANYTHING
+
+
+def pruned(index: FileIndex, query: str, options: Options) -> DataFrame:
+    """The manifest, or of a large one the blocks that can hold a match of a glob or regular expression."""
+    use = options.prune if options.prune is not None else (index.files or 0) >= LARGE
+    if index.grams is None or not use or options.match is Match.EXACT:
+        return index.manifest
+    condition = trigrams.narrowed(index.grams, needed(query, options))
+    return index.manifest if condition is None else index.manifest.where(condition)
+
+
 def one_a_package(query: str, options: Options) -> bool:
     """Only exact whole paths, and what is verbose, keep a row an occurrence."""
     return not options.verbose and (options.match is not Match.EXACT or options.ignore_case or "/" not in query)
@@ -42,9 +62,7 @@ def one_a_package(query: str, options: Options) -> bool:
 def search(index: FileIndex, query: str, options: Options = Options()) -> DataFrame:  # noqa: B008
     """repo, prefix, entry in no order; see `ordered`."""
     checked(index, query, options)
-    rows = index.manifest
-    if options.repo:
-        rows = rows.where(F.col("repo") == options.repo)
+    rows = pruned(index.within(options.repo) if options.repo else index, query, options)
     if not options.directories:
         rows = rows.where(~F.col("is_dir"))
     if options.binaries:

@@ -28,6 +28,8 @@ class Options:
     raw: bool = False
     eol: str = field(default="\n")
     exe_suffix: bool = False
+    #: Whether patterns look their trigrams up; None: where the index is large.
+    prune: bool | None = None
 
 
 def path_bins(path_variable: str | None) -> tuple[str, ...]:

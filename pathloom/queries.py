@@ -13,7 +13,7 @@ from .operators import inspection, listing, search, upkeep
 from .options import Match, Options
 from .plans import render
 from .plans.catalog import FileIndex, write_repos, write_version
-from .plans.manifest import MANIFEST_SQL, from_tables
+from .plans.manifest import COLUMNS, MANIFEST_SQL, from_tables
 from .sources import archives
 
 BINS = ("/usr/bin/", "/usr/sbin/")
@@ -112,9 +112,9 @@ QUERIES = {
     "inspect_path_trie": inspected(inspection.path_trie),
     "inspect_strings": inspected(inspection.strings),
     "formatted_packages": formatted,
-    "manifest": lambda spark, d: stored_index(spark, d).manifest,
+    "manifest": lambda spark, d: stored_index(spark, d).manifest.select(COLUMNS),
     "archives_parsed": lambda spark, d: archives.from_contents(archives.packed(stored_index(spark, d).manifest)).drop("pkg_ord"),
-    "archives_listed": lambda spark, d: archives.packed(stored_index(spark, d).manifest).groupBy("repo").agg(F.sum("packages").cast("long").alias("packages")),
+    "archives_listed": lambda spark, d: archives.from_contents(archives.packed(stored_index(spark, d).manifest)).groupBy("repo").agg(F.count_distinct("pkg", "version").alias("packages")),
     "sync_enabled": over_logs(lambda t: upkeep.enabled(t["sources"], t["config"])),
     "sync_stale": over_logs(lambda t: upkeep.stale(t["sources"], t["state"])),
     "sync_forced": over_logs(lambda t: upkeep.stale(t["sources"], t["state"], force=True)),

@@ -51,7 +51,7 @@ def test_folding_is_ascii_only(spark):
     assert not df.select(predicates.regex("éa", True)).first()[0]
 
 
-@pytest.mark.parametrize("pattern", ["(?R)", r"a\Kb", "(*FAIL)", "(?|a|b)", "[[:nope:]]"])
+@pytest.mark.parametrize("pattern", ["(*COMMIT)a", "(*UTF8)a", "a(?C1)b", "[[:nope:]]", "(?(R)a|b)", "(?&none)", r"(a)\2", "a)", "(a", "[a", "*a", "a{2,1}", "(?<n", "\\"])
 def test_unsupported(pattern):
     with pytest.raises(patterns.PatternError):
         patterns.perl_to_java(pattern)
