@@ -14,7 +14,10 @@ from .operators import inspection, listing, search
 from .options import Match, Options, path_bins
 from .plans import refresh, render
 from .plans.catalog import CannotOpen, FileIndex
+from .plans.store import Store
 from .sources.config import load_config
+from .streaming.changes import CONTROLS, ChangeLog
+from .streaming.sync import Sync
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -25,7 +28,9 @@ def arguments() -> argparse.ArgumentParser:
     mode.add_argument("-u", "--update", action="count", default=0, help="twice: whether newer or not")
     mode.add_argument("--watch", metavar="ARCHIVES", help="keep the index in step with a folder of archives")
     mode.add_argument("--oneshot", action="store_true")
-    mode.add_argument("--inspect", choices=("summary", "packages", "files", "basenames", "postings", "paths", "strings"), help="files takes repo/package, postings a basename as target")
+    mode.add_argument("--force", action="store_true", help="with --watch, begin by indexing every archive whatever its time")
+    mode.add_argument("--control", choices=CONTROLS, help="what the stream that keeps the index in step shall do")
+    mode.add_argument("--inspect", choices=("summary", "sources", "total", "packages", "files", "basenames", "postings", "paths", "strings"), help="files takes repo/package, postings a basename as target")
     p.add_argument("-g", "--glob", dest="match", action="store_const", const=Match.GLOB, default=Match.EXACT)
     p.add_argument("-r", "--regex", dest="match", action="store_const", const=Match.REGEX)
     for letter, name in (("-i", "ignorecase"), ("-b", "binaries"), ("-d", "directories"), ("-q", "quiet"), ("-v", "verbose"), ("-w", "raw"), ("-0", "null")):
@@ -42,19 +47,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     """0 if something was found or done, 1 if not, 2 (from argparse) for wrong usage."""
     a = arguments().parse_args(argv)
     spark = spark or SparkSession.builder.appName("pathloom").getOrCreate()
+    if a.control:
+        ChangeLog(spark, f"{a.cachedir.rstrip('/')}.changes", "").control(a.control)
+        return 0
     if a.update or a.watch:
         try:
-            config = load_config(a.config)
+            config = load_config(a.config, Store(spark))
         except OSError as error:
             print(f"error: {a.config}: {error.strerror}", file=sys.stderr)
             return 1
         if a.update:
             return refresh.refresh(spark, config, a.cachedir, force=a.update > 1)
-        from .streaming.sync import Sync
-
         sync = Sync(spark, a.config, a.watch, a.cachedir)
         try:
-            sync.start()
+            sync.start(a.force)
         except refresh.NewerVersion as error:
             print(f"error: {error}", file=sys.stderr)
             return 1
@@ -65,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("error: no target (see --help)", file=sys.stderr)
         return 1
     try:
-        index = FileIndex.open(spark, a.cachedir)
+        index = FileIndex.open(spark, a.cachedir, check=True)
     except CannotOpen as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
@@ -78,7 +84,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.inspect == "postings":
             shown = inspection.postings(index, a.target)
         else:
-            shown = {"summary": inspection.summary, "packages": inspection.package_table, "basenames": inspection.basenames, "paths": inspection.path_trie, "strings": inspection.strings}[a.inspect](index)
+            shown = {"summary": inspection.summary, "sources": inspection.sources, "total": inspection.total, "packages": inspection.package_table, "basenames": inspection.basenames, "paths": inspection.path_trie, "strings": inspection.strings}[a.inspect](index)
         # basenames by how often they occur, everything else by its columns
         order = [F.desc("postings"), "basename", "repo"] if a.inspect == "basenames" else shown.columns
         for row in shown.orderBy(*order).toLocalIterator():

@@ -97,6 +97,11 @@ class Store:
             fs.delete(at, False)
             raise
 
+    def move(self, path: str, to: str) -> None:
+        fs, at = self._at(path)
+        if not fs.rename(at, self._at(to)[1]):
+            raise OSError(f"{path} can't be moved to {to}")
+
     def delete(self, path: str) -> None:
         fs, at = self._at(path)
         fs.delete(at, True)

@@ -224,7 +224,7 @@ def eventually(holds, seconds=40):
 def test_stream(spark, watched):
     sync = Sync(spark, f"{watched}/conf", f"{watched}/archives", f"{watched}/index")
     sync.start()
-    query = sync.watch(f"{watched}/checkpoint", interval="500 milliseconds")
+    query = sync.watch(f"{watched}/checkpoint", interval=0.5)
     try:
         # replaced in place, by renaming
         archive(watched / "new", {("fresh", "1-1"): ["usr/", "usr/fresh"]})
