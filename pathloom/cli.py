@@ -37,6 +37,7 @@ def arguments() -> argparse.ArgumentParser:
         p.add_argument(letter, f"--{name}", action="store_true")
     p.add_argument("-z", "--compress", nargs="?", help=argparse.SUPPRESS)
     p.add_argument("-R", "--repo", default="")
+    p.add_argument("-o", "--output", metavar="FOLDER", help="write what would be printed as text files, in the order of their names")
     p.add_argument("-C", "--config", default="/etc/pacman.conf")
     p.add_argument("-D", "--cachedir", default="file-index")
     p.add_argument("target", nargs="?")
@@ -96,6 +97,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except PatternError as error:
         print(f"error: {error}", file=sys.stderr)
         return 1
+    if a.output:
+        render.written(found, a.output, options.raw, options.eol)
+        return int(spark.read.text(a.output).isEmpty())
     nothing = True
     for line in render.printed(found, options.raw, options.eol):
         nothing = False

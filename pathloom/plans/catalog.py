@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import statistics, trigrams
+from . import jobs, statistics, trigrams
 from .manifest import COLUMNS, SCHEMA, packages
 from .store import Store
 
@@ -312,7 +312,7 @@ def tidy(spark: SparkSession, path: str, known: set[str], retention: float = RET
     """Drop repositories that aren't known; refuse if the folder holds directories that no index has."""
     store = Store(spark)
     entries = store.entries(path)
-    if {e.name for e in entries if e.is_dir} - {*TABLES, *EARLIER, SNAPSHOTS}:
+    if {e.name for e in entries if e.is_dir} - {*TABLES, *EARLIER, SNAPSHOTS, jobs.FOLDER}:
         return False
     remove_repos(spark, path, stored_repos(spark, path) - known)
     for e in entries:

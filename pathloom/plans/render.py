@@ -28,3 +28,13 @@ def printed(ordered: DataFrame, raw: bool = False, eol: str = "\n") -> Iterator[
     names = [c for c in ("repo", "prefix", "entry") if c in ordered.columns]
     for row in lines(ordered.select(names), raw).orderBy(*names).select("line").toLocalIterator():
         yield row[0] + eol
+
+
+def written(found: DataFrame, folder: str, raw: bool = False, eol: str = "\n") -> None:
+    """The lines as text files whose contents, joined in the order of their names, are what `printed` yields.
+
+    Rows are dealt by ranges of their order and written where they lie, so a result of any size
+    is ordered and padded alike without passing through the driver.
+    """
+    names = [c for c in ("repo", "prefix", "entry") if c in found.columns]
+    lines(found.select(names), raw).orderBy(*names).select("line").write.option("lineSep", eol).text(folder)

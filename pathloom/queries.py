@@ -20,19 +20,27 @@ BINS = ("/usr/bin/", "/usr/sbin/")
 _stored: dict[tuple[str, str], str] = {}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir; a local session without it has a folder of its own."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='pathloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored_index(spark: SparkSession, sf_dir: str) -> FileIndex:
     """The manifest of sf_dir, written as an index in the shared folder the first time a session asks."""
+    return FileIndex.open(spark, stored_path(spark, sf_dir))
+
+
+def stored_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
-        root = spark.conf.get("spark.checkpoint.dir", "")
-        if not root and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = root or tempfile.mkdtemp(prefix="pathloom-")
-        path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+        path = scratch(spark, "index")
         write_repos(from_tables(spark, sf_dir), path)
         write_version(spark, path)
         _stored[key] = path
-    return FileIndex.open(spark, _stored[key])
+    return _stored[key]
 
 
 def searching(target: str, **options):

@@ -275,3 +275,59 @@ def test_command_line(spark, watched, capsys):
     with pytest.raises(SystemExit) as left:
         run("--nonsense")
     assert left.value.code == 2
+
+
+def test_jobs_are_accounted_for(spark, watched, tmp_path):
+    from pathloom.operators import upkeep
+    from pathloom.plans.jobs import Run, jobs
+
+    index = f"{watched}/index"
+    (watched / "archives/broken.files").write_bytes(b"\x1f\x8bno archive")
+    (watched / "archives/cut.files").write_bytes((watched / "archives/testing.files").read_bytes()[:-60])
+    config = Config([(r, []) for r in ("testing", "extra", "broken", "cut")])
+    assert jobs(spark, index).isEmpty()
+    refresh.start(spark, config, f"{watched}/archives", index)
+    first = {r["repo"]: (r["status"], r["note"]) for r in jobs(spark, index).collect()}
+    assert first["testing"] == first["extra"] == ("done", None) and first["broken"] == ("failed", "BadGzipFile: Unknown compression method")
+    # what can't be opened keeps what it has, and is due again
+    archive(watched / "archives/broken.files", SMALL)
+    assert "broken" in refresh.sync_once(spark, config, f"{watched}/archives", index)
+    (watched / "archives/broken.files").write_bytes(b"spoilt again")
+    assert not refresh.repack(spark, f"{watched}/archives", index, ["broken"])
+    assert {r["pkg"] for r in FileIndex.open(spark, index).packages.where("repo = 'broken'").collect()} == {"pkg-a", "pkg-b"}
+    # one that has begun
+    Run(spark, index, ["testing", "extra"])
+    assert tuple(upkeep.outcome(jobs(spark, index)).first()) == (8, 2, 2)
+    assert catalog.tidy(spark, index, {"testing"}) and jobs(spark, index).count() == 8
+
+
+def test_a_failed_run_says_so(spark, watched, monkeypatch):
+    from pathloom.plans.jobs import jobs
+
+    def lost(*_):
+        raise OSError("no space left")
+
+    monkeypatch.setattr(refresh, "write_repos", lost)
+    with pytest.raises(OSError):
+        refresh.repack(spark, f"{watched}/archives", f"{watched}/index", ["testing"])
+    assert [(r["status"], r["note"]) for r in jobs(spark, f"{watched}/index").collect()] == [("failed", "OSError: no space left")]
+
+
+def test_archives_are_written_as_they_are_read(spark, testing, tmp_path):
+    from pathloom.sources.archives import written
+
+    assert written(testing.manifest, str(tmp_path / "a")).count() == 1 and os.listdir(tmp_path / "a") == ["testing.0.files"]
+    got = names(read_archives(spark, f"{tmp_path}/a").select("pkg", "version", "file_ord", "path"))
+    assert got == names(testing.manifest.select("pkg", "version", "file_ord", "path"))
+
+
+@pytest.mark.parametrize(("flags", "eol"), [(("-v",), b"\n"), (("-v", "-0"), b"\0"), (("-v", "-w"), b"\n"), (("-l", "-g"), b"\n")])
+def test_written_parts_are_what_is_printed(spark, watched, capsysbinary, flags, eol):
+    index, target = f"{watched}/index", "*" if "-g" in flags else "pane.svg"
+    assert cli.main(["--watch", f"{watched}/archives", "--oneshot", "-D", index, "-C", f"{watched}/conf"], spark) == 0
+    assert cli.main([*flags, target, "-D", index], spark) == 0
+    shown = capsysbinary.readouterr().out
+    assert cli.main([*flags, target, "-D", index, "-o", f"{watched}/out"], spark) == 0
+    parts = sorted(p for p in os.listdir(watched / "out") if p.startswith("part-"))
+    assert b"".join((watched / "out" / p).read_bytes() for p in parts) == shown and shown.count(eol) >= 2
+    assert cli.main([*flags, "nothing", "-D", index, "-o", f"{watched}/none"], spark) == 1

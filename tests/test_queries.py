@@ -10,8 +10,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from pathloom import queries
+from pathloom import lifecycle, queries
 
+QUERIES, ORACLE_SQL = queries.QUERIES | lifecycle.QUERIES, queries.ORACLE_SQL | lifecycle.ORACLE_SQL
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
@@ -36,9 +37,9 @@ def duck():
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, duck, name):
-    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), duck.sql(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
