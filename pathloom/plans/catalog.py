@@ -36,7 +36,7 @@ from .manifest import COLUMNS, SCHEMA, packages
 from .store import Store
 
 FORMAT_VERSION = 2
-MARKER, SNAPSHOTS = "version.json", "snapshots"
+MARKER, SNAPSHOTS, INCOMING = "version.json", "snapshots", "incoming"
 TABLES = ("manifest", "by_package", "packages", "grams")
 #: Folders of earlier formats.
 EARLIER = ("repo_state",)
@@ -312,7 +312,7 @@ def tidy(spark: SparkSession, path: str, known: set[str], retention: float = RET
     """Drop repositories that aren't known; refuse if the folder holds directories that no index has."""
     store = Store(spark)
     entries = store.entries(path)
-    if {e.name for e in entries if e.is_dir} - {*TABLES, *EARLIER, SNAPSHOTS, jobs.FOLDER}:
+    if {e.name for e in entries if e.is_dir} - {*TABLES, *EARLIER, SNAPSHOTS, INCOMING, jobs.FOLDER}:
         return False
     remove_repos(spark, path, stored_repos(spark, path) - known)
     for e in entries:

@@ -6,9 +6,14 @@ import http.server
 import io
 import lzma
 import os
+import random
+import shutil
+import struct
+import subprocess
 import tarfile
 import threading
 import time
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -32,6 +37,79 @@ def names(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+def lzip(data):
+    """Two members of lzip."""
+    out = b""
+    for part in (data[:1000], data[1000:]):
+        body = lzma.compress(part, lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": 1 << 16, "lc": 3, "lp": 0, "pb": 2}])
+        out += b"LZIP\x01\x10" + body + struct.pack("<IQQ", zlib.crc32(part), len(part), len(body) + 26)
+    return out
+
+
+def lzw(data, most=12, clear_at=None):
+    """As compress writes it: codes in groups of eight, padded where their width changes."""
+    out, bits, n, width, count = bytearray(b"\x1f\x9d" + bytes([most | 128])), 0, 0, 9, 0
+    table, current, size = {bytes([i]): i for i in range(256)}, b"", 257
+
+    def put(code):
+        nonlocal bits, n, count
+        bits, n, count = bits | code << n, n + width, count + 1
+        while n >= 8:
+            out.append(bits & 255)
+            bits, n = bits >> 8, n - 8
+
+    def pad():
+        nonlocal count
+        while count % 8:
+            put(0)
+
+    for i in range(len(data)):
+        longer = current + data[i : i + 1]
+        if longer in table:
+            current = longer
+            continue
+        put(table[current])
+        if clear_at and i >= clear_at:
+            put(256)
+            pad()
+            clear_at, table, size, width, count = None, {bytes([j]): j for j in range(256)}, 257, 9, 0
+        elif size < 1 << most:
+            table[longer] = size
+            size += 1
+            # the reader is one entry behind
+            if size - 1 >= 1 << width and width < most:
+                pad()
+                width, count = width + 1, 0
+        current = data[i : i + 1]
+    put(table[current])
+    if n:
+        out.append(bits & 255)
+    return bytes(out)
+
+
+def old_cpio(packages, order):
+    out = b""
+    for (name, version), paths in [*packages.items(), (("TRAILER!!!", ""), [])]:
+        member = (f"{name}-{version}/files" if version else name).encode() + b"\0"
+        data = b"" if not version else "\n".join(["%FILES%", *paths, ""]).encode()
+        head = struct.pack(order + "13H", 0o070707, *[0] * 9, len(member), len(data) >> 16, len(data) & 65535)
+        out += head + member + b"\0" * (len(member) % 2) + data + b"\0" * (len(data) % 2)
+    return out
+
+
+@pytest.mark.parametrize(("most", "clear_at"), [(9, None), (12, None), (16, None), (12, 30_000), (10, 500)])
+def test_lzw_is_read_back(most, clear_at):
+    from pathloom.sources.decoders import lzw as read
+
+    r = random.Random(most)
+    for data in (b"a", b"aaaaaaa", bytes(r.randrange(256) for _ in range(3_000)), b"".join(r.choice([b"usr/", b"share/", b"lib", b"x"]) for _ in range(40_000))):
+        assert b"".join(read(lzw(data, most, clear_at))) == data
+        if shutil.which("gzip") and most > 9:  # which reads this format too, but widens codes of 9 bits at most to 10
+            assert subprocess.run(["gzip", "-dc"], input=lzw(data, most, clear_at), capture_output=True, check=True).stdout == data
+    with pytest.raises(EOFError):
+        list(read(b"\x1f\x9d"))
+
+
 def cpio(packages, octal=False):
     out = b""
     for (name, version), paths in [*packages.items(), (("TRAILER!!!", ""), [])]:
@@ -50,7 +128,7 @@ def cpio(packages, octal=False):
 def test_every_format(spark, tmp_path):
     archive(tmp_path / "plain.files", SMALL, "w")
     raw = (tmp_path / "plain.files").read_bytes()
-    for name, data in {"gz": gzip.compress(raw), "bz2": bz2.compress(raw), "xz": lzma.compress(raw), "cpio": cpio(SMALL), "odc": gzip.compress(cpio(SMALL, True))}.items():
+    for name, data in {"gz": gzip.compress(raw), "bz2": bz2.compress(raw), "xz": lzma.compress(raw), "cpio": cpio(SMALL), "odc": gzip.compress(cpio(SMALL, True)), "lzma": lzma.compress(raw, lzma.FORMAT_ALONE), "lzip": lzip(raw), "lzw": lzw(raw, 14), "old": old_cpio(SMALL, "<"), "swapped": bz2.compress(old_cpio(SMALL, ">"))}.items():
         (tmp_path / f"{name}.files").write_bytes(data)
     for codec in ("zstd", "lz4"):
         buffer = pa.BufferOutputStream()
@@ -61,7 +139,7 @@ def test_every_format(spark, tmp_path):
     per_repo = {}
     for repo, *row in names(got.select("repo", "pkg", "version", "file_ord", "path", "is_dir", "basename")):
         per_repo.setdefault(repo, []).append(row)
-    assert set(per_repo) == {"plain", "gz", "bz2", "xz", "cpio", "odc", "zstd", "lz4"}
+    assert set(per_repo) == {"plain", "gz", "bz2", "xz", "cpio", "odc", "zstd", "lz4", "lzma", "lzip", "lzw", "old", "swapped"}
     assert all(rows == per_repo["plain"] for rows in per_repo.values())
     assert per_repo["plain"][0] == ["pkg-a", "1-1", 0, "/usr/", True, "usr"]
 
@@ -168,6 +246,65 @@ def test_refresh(spark, tmp_path, mirror):
     assert refresh.refresh(spark, Config(), index) == 1
 
 
+class Faltering(http.server.BaseHTTPRequestHandler):
+    """`/half/` breaks off in the middle; `/rest/` sends ranges of the same archive, `/other/` has another and ignores ranges."""
+
+    content, other, asked = b"", b"", []
+    stamp, later = "Sat, 28 Nov 2026 10:00:00 GMT", "Sat, 28 Nov 2026 11:00:00 GMT"
+
+    def do_GET(self):
+        kind, begin = self.path.split("/")[1], 0
+        self.asked.append((kind, self.headers.get("Range"), self.headers.get("If-Range")))
+        data, stamp = (self.other, self.later) if kind == "other" else (self.content, self.stamp)
+        if kind == "rest" and self.headers.get("If-Range") == stamp:
+            begin = int(self.headers["Range"][6:-1])
+        self.send_response(206 if begin else 200)
+        if begin:
+            self.send_header("Content-Range", f"bytes {begin}-{len(data) - 1}/{len(data)}")
+        self.send_header("Last-Modified", stamp)
+        self.send_header("Content-Length", str(len(data) - begin))
+        self.end_headers()
+        self.wfile.write(data[begin : len(data) // 2] if kind == "half" else data[begin:])
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture
+def faltering(tmp_path):
+    archive(tmp_path / "one", {**TESTING, ("noise", "1-1"): [f"usr/{random.random()}" for _ in range(20_000)]})
+    archive(tmp_path / "two", SMALL)
+    Faltering.content, Faltering.other = (tmp_path / "one").read_bytes(), (tmp_path / "two").read_bytes()
+    Faltering.asked.clear()
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Faltering)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_an_interrupted_mirror_is_resumed_on_the_next(tmp_path, faltering, monkeypatch):
+    monkeypatch.setattr(mirrors, "PIECE", 100_000)
+    half = len(Faltering.content) // 2
+    fetch = lambda *kinds: mirrors.fetch("r", [f"{faltering}/{k}" for k in kinds], "any", None, f"{tmp_path}/landing")
+    assert fetch("half", "rest")[1:3] == ("ok", len(Faltering.content))
+    assert Faltering.asked == [("half", None, None), ("rest", f"bytes={half}-", Faltering.stamp)]
+    assert (tmp_path / "landing/r.files").read_bytes() == Faltering.content and os.listdir(tmp_path / "landing") == ["r.files"]
+    # another archive is taken whole, and so is one after a mirror that has gone
+    assert fetch("half", "other")[1:3] == ("ok", len(Faltering.other)) and (tmp_path / "landing/r.files").read_bytes() == Faltering.other
+    assert fetch("half", "half", "rest")[1] == "ok" and (tmp_path / "landing/r.files").read_bytes() == Faltering.content
+    assert fetch("half", "half")[1] == "error" and os.listdir(tmp_path / "landing") == ["r.files"]
+
+
+def test_refresh_resumes(spark, tmp_path, faltering):
+    index = str(tmp_path / "index")
+    config = Config([("core", [f"{faltering}/half", f"{faltering}/rest"]), ("gone", [f"{faltering}/half"])], "any")
+    assert refresh.refresh(spark, config, index) == 1
+    opened = FileIndex.open(spark, index)
+    assert opened.manifest.where("repo = 'core'").count() == 20_000 + sum(map(len, TESTING.values())) and catalog.stored_repos(spark, index) == {"core"}
+    assert opened.state.first()["source_mtime"] == 1795860000 and opened.state.first()["file_size"] == len(Faltering.content)
+    assert os.listdir(f"{index}/incoming") == []
+
+
 def test_tidy_refuses_strange_folders(spark, tmp_path):
     index = str(tmp_path)
     catalog.write_version(spark, index)
@@ -297,8 +434,8 @@ def test_jobs_are_accounted_for(spark, watched, tmp_path):
     assert {r["pkg"] for r in FileIndex.open(spark, index).packages.where("repo = 'broken'").collect()} == {"pkg-a", "pkg-b"}
     # one that has begun
     Run(spark, index, ["testing", "extra"])
-    assert tuple(upkeep.outcome(jobs(spark, index)).first()) == (8, 2, 2)
-    assert catalog.tidy(spark, index, {"testing"}) and jobs(spark, index).count() == 8
+    assert tuple(upkeep.outcome(jobs(spark, index)).first()) == (9, 2, 4)
+    assert catalog.tidy(spark, index, {"testing"}) and jobs(spark, index).count() == 9
 
 
 def test_a_failed_run_says_so(spark, watched, monkeypatch):
