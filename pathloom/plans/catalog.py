@@ -257,7 +257,7 @@ def write_repos(manifest: DataFrame, path: str, state: DataFrame | None = None,
         jobs = [
             lambda: written(stored.repartitionByRange("repo", "pkg", "pkg_ord", "file_ord").sortWithinPartitions("repo", "pkg", "pkg_ord", "file_ord"), "by_package", "pkg"),
             lambda: written(packages(stored).repartitionByRange("repo", "pkg", "pkg_ord").sortWithinPartitions("repo", "pkg", "pkg_ord"), "packages", "pkg"),
-            lambda: written(trigrams.of(stored), "grams", "gram"),
+            lambda: written(trigrams.of(stored), "grams"),
             lambda: [facts[r["repo"]].update(r.asDict()) for r in statistics.by_repo(stored).collect()],
         ]
         with ThreadPoolExecutor(len(jobs)) as pool:

@@ -1,6 +1,6 @@
 """Which blocks of the manifest hold a trigram: pruning for patterns that no statistics serve.
 
-The manifest's rows carry the number of their block, some BLOCK rows in the order they are written,
+A trigram is a number of three bytes. The manifest's rows carry the number of their block, some BLOCK rows in the order they are written,
 so a block's rows lie together and a condition on its number skips row groups and pages. For every
 trigram of the folded bytes of paths, a posting list names the blocks that hold it. A pattern's literals,
 where it has any of three characters or more, say which trigrams a match must hold; the lists of a few
@@ -10,15 +10,20 @@ pattern decides, so ranges may hold too much but never too little.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.literals import Needed
-from ..functions.patterns import ascii_fold, bytes_view
 
 BLOCK = 16_384
-SCHEMA = [T.StructField("gram", T.StringType()), T.StructField("part", T.LongType()), T.StructField("blocks", T.ArrayType(T.LongType()))]
+SCHEMA = [T.StructField("gram", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("blocks", T.ArrayType(T.LongType()))]
+#: Bytes as they count: A-Z as a-z.
+FOLDED = np.array([b + 32 * (65 <= b <= 90) for b in range(256)], np.int32)
 #: Ranges in a condition; nearest ones are joined beyond.
 RANGES = 64
 #: Blocks that may match, beyond which the whole is read.
@@ -33,23 +38,39 @@ def block_number(commit: str, rows: int | None = None) -> Column:
     return task + F.floor(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) / (rows or BLOCK)) % 65_536
 
 
-def grams_of(path: Column) -> Column:
-    """The distinct trigrams of a path's folded bytes."""
-    view = F.when(F.octet_length(path) == F.length(path), ascii_fold(path)).otherwise(ascii_fold(bytes_view(path)))
-    each = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))
-    return F.transform(F.array(view), lambda p: F.when(F.length(p) > 2, each(p)).otherwise(F.array().cast("array<string>")))[0]
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct trigrams of each run of rows of one repository and block."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        paths, blocks = b.column("path").cast(pa.large_binary()), b.column("block").to_numpy()
+        repos = b.column("repo").dictionary_encode()
+        offsets = np.frombuffer(paths.buffers()[1], np.int64)[paths.offset : paths.offset + len(paths) + 1]
+        data = FOLDED[np.frombuffer(paths.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]] if offsets[-1] > offsets[0] else np.zeros(0, np.int32)
+        offsets = offsets - offsets[0]
+        changes = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(repos.indices.to_numpy()) != 0)) + 1
+        for first, last in zip([0, *changes], [*changes, len(blocks)], strict=True):
+            d, ends = data[offsets[first] : offsets[last]], offsets[first + 1 : last + 1] - offsets[first]
+            codes = d[:-2] << 16 | d[1:-1] << 8 | d[2:]
+            within, ends = np.ones(len(codes) + 2, bool), ends[ends > 0]
+            within[ends - 1] = within[np.maximum(ends - 2, 0)] = False  # these go on into the next path
+            codes = np.unique(codes[within[: len(codes)]])
+            n = len(codes)
+            repo = repos.dictionary[repos.indices[first].as_py()].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([repo] * n, pa.string()), pa.array(codes, pa.int32()), pa.array(np.full(n, blocks[first]), pa.int64())], names=["repo", "gram", "block"])
 
 
 def of(stored: DataFrame) -> DataFrame:
     """repo, gram, part, blocks: posting lists, one row a trigram and writing task, sorted by trigram."""
-    met = stored.select("repo", "block", F.explode(grams_of(F.col("path"))).alias("gram"))
+    met = stored.select("repo", "block", "path").mapInArrow(_met, "repo string, gram int, block long")
     lists = met.groupBy("repo", "gram", F.shiftright("block", 16).alias("part")).agg(F.array_sort(F.collect_set("block")).alias("blocks"))
     return lists.repartitionByRange("repo", "gram", "part").sortWithinPartitions("repo", "gram", "part")
 
 
-def looked_up(literal: str) -> list[str]:
+def looked_up(literal: str) -> list[int]:
     """Some trigrams of a literal (a byte a character, folded), spread over it."""
-    found = list(dict.fromkeys(literal[i : i + 3] for i in range(len(literal) - 2)))
+    data = literal.encode("latin-1")
+    found = list(dict.fromkeys(int.from_bytes(data[i : i + 3]) for i in range(len(data) - 2)))
     if len(found) <= LOOKED_UP:
         return found
     return [found[round(i * (len(found) - 1) / (LOOKED_UP - 1))] for i in range(LOOKED_UP)]
