@@ -8,8 +8,10 @@ a host without links in that direction keeping what it has, until no rank moves
 The threshold is per host. A host with pages that rules judged stands on these: it is blocked if
 distrust exceeds trust by THRESHOLD, each being the larger of seed and rank, so links to a blocked
 host never clear it, and a host of which a few pages are blocked stays. Any other host is blocked
-if distrust is more than THRESHOLD of all that reached it: a share doesn't thin out as a host's
-linkers grow in number. Less than FLOOR of distrust is no evidence.
+if distrust is more than THRESHOLD of all that reached it, and if its own links are evidence: a walk
+along them, which goes on with chance d at each step, comes to blocked pages with more than chance
+REACH. Neither thins out as a blocked host's linkers grow in number, though the distrust that each
+of them gets does; one bad link among many hundreds is no evidence.
 
 Links are absolute and protocol-relative href targets on another host, counted once a page. The
 link table is summed to one row a pair of hosts before any walk; every round is two shuffles on
@@ -32,7 +34,8 @@ from .common import fold_ascii, settled, small_side
 
 #: (verdict, rule); the part of a rule before its first / is the host, the rest begins the path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, THRESHOLD, TOLERANCE, FLOOR = 0.85, 0.5, 1e-6, 1e-3
+DAMPING, THRESHOLD, TOLERANCE, REACH = 0.85, 0.5, 1e-6, 1e-2
+KINDS = {"trust": "trust", "distrust": "distrust", "reach": "distrust"}  # and what seeds each
 #: A round moves ranks by DAMPING of what the round before did at most, so no more rounds are ever needed.
 ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING)) + 1
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -64,39 +67,39 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def shares(pairs: DataFrame) -> DataFrame:
-    """kind, source, target, share: trust along the links, distrust against them."""
-    both = [pairs.select(F.lit(k).alias("kind"), F.col(a).alias("source"), F.col(b).alias("target"), "n") for k, a, b in (("trust", "source", "target"), ("distrust", "target", "source"))]
-    both = both[0].unionAll(both[1])
-    out = both.groupBy("kind", "source").agg(F.sum("n").alias("all"))
-    return both.join(out, ["kind", "source"]).select("kind", "source", "target", (F.col("n") / F.col("all")).alias("share"))
+    """kind, source, target, share: trust along the links, distrust against them, reach against them by the linker's own links."""
+    both = [pairs.select(F.lit(k).alias("kind"), F.col(a).alias("source"), F.col(b).alias("target"), F.col("source").alias("of") if own else F.col(a).alias("of"), "n") for k, a, b, own in (("trust", "source", "target", False), ("distrust", "target", "source", False), ("reach", "target", "source", True))]
+    both = both[0].unionAll(both[1]).unionAll(both[2])
+    out = both.groupBy("kind", "of").agg(F.sum("n").alias("all"))
+    return both.join(out, ["kind", "of"]).select("kind", "source", "target", (F.col("n") / F.col("all")).alias("share"))
 
 
 def propagated(seeds: DataFrame, pairs: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust from seeds (host, trust, distrust) and link counts."""
+    """host, trust, distrust, reach from seeds (host, trust, distrust) and link counts."""
     pairs = settled(pairs)
     if pairs.isEmpty():
-        return seeds  # nothing moves
+        return seeds.withColumn("reach", F.col("distrust"))  # nothing moves
     flows = settled(shares(pairs))
     hosts = flows.select(F.col("source").alias("host")).union(seeds.select("host")).distinct()
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(k, F.lit(0.0)).alias("seed")) for k in ("trust", "distrust")])).alias("k")
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(seed, F.lit(0.0)).alias("seed")) for k, seed in KINDS.items()])).alias("k")
     ends = flows.select("kind", F.col("source").alias("host")).distinct().withColumn("flows", F.lit(True))
     rank = hosts.join(seeds, "host", "left").select("host", kinds).select("host", "k.kind", "k.seed").join(ends, ["kind", "host"], "left")
     rank = settled(rank.select("kind", "host", "seed", F.coalesce("flows", F.lit(False)).alias("flows"), F.col("seed").alias("r"), F.lit(1.0).alias("moved")))
     for _ in range(rounds):
         got = flows.join(rank.select("kind", F.col("host").alias("source"), "r"), ["kind", "source"]).groupBy("kind", F.col("target").alias("host")).agg(F.sum(F.col("share") * F.col("r")).alias("got"))
-        inflow = F.coalesce("got", F.lit(0.0)) + F.when(F.col("flows"), 0.0).otherwise(F.col("r"))
-        new = (1 - damping) * F.col("seed") + damping * inflow
+        inflow, kept = F.coalesce("got", F.lit(0.0)), F.when(F.col("flows"), 0.0).otherwise(F.col("r"))
+        new = F.when(F.col("kind") == "reach", F.col("seed") + (1 - F.col("seed")) * damping * inflow).otherwise((1 - damping) * F.col("seed") + damping * (inflow + kept))
         rank = settled(rank.join(got, ["kind", "host"], "left").select("kind", "host", "seed", "flows", new.alias("r"), F.abs(new - F.col("r")).alias("moved")))
         if rank.agg(F.max("moved")).first()[0] < TOLERANCE:
             break
-    return rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("r"))).alias(k) for k in ("trust", "distrust")])
+    return rank.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("r"))).alias(k) for k in KINDS])
 
 
 def blocked(threshold: float = THRESHOLD) -> Column:
-    """Whether a host with ranks trust and distrust and seeds _t and _d is blocked."""
+    """Whether a host with trust, distrust and reach and seeds _t and _d is blocked."""
     t, d = F.greatest("trust", F.coalesce("_t", F.lit(0.0))), F.greatest("distrust", F.coalesce("_d", F.lit(0.0)))
     seeded = F.coalesce(F.col("_t") + F.col("_d"), F.lit(0.0)) > 0
-    return F.when(seeded, d - t > threshold).otherwise((d > FLOOR) & (d > threshold * (d + t)))
+    return F.when(seeded, d - t > threshold).otherwise((F.col("reach") > REACH) & (d > threshold * (d + t)))
 
 
 def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, **walk) -> DataFrame:
@@ -127,16 +130,16 @@ p AS (SELECT *, {rule} AS rule, {verdict} AS ruled FROM h),
 s AS MATERIALIZED (SELECT host, AVG(CASE WHEN ruled = 'allow' THEN 1.0 ELSE 0.0 END) AS trust, AVG(CASE WHEN ruled = 'block' THEN 1.0 ELSE 0.0 END) AS distrust FROM p WHERE host <> '' GROUP BY host),
 t AS (SELECT DISTINCT page_id, host AS source, lower(unnest(regexp_extract_all(COALESCE(html, ''), '{link}', 1))) AS target FROM p WHERE host <> ''),
 n AS (SELECT source, target, COUNT(*) AS n FROM t WHERE source <> target GROUP BY source, target),
-b AS (SELECT 'trust' AS kind, source, target, n FROM n UNION ALL SELECT 'distrust', target, source, n FROM n),
-f AS MATERIALIZED (SELECT kind, source, target, n / SUM(n) OVER (PARTITION BY kind, source) AS share FROM b),
+b AS (SELECT 'trust' AS kind, source, target, source AS own, n FROM n UNION ALL SELECT 'distrust', target, source, target, n FROM n UNION ALL SELECT 'reach', target, source, source, n FROM n),
+f AS MATERIALIZED (SELECT kind, source, target, n / SUM(n) OVER (PARTITION BY kind, own) AS share FROM b),
 r0 AS MATERIALIZED (SELECT k.kind, a.host, COALESCE(CASE k.kind WHEN 'trust' THEN s.trust ELSE s.distrust END, 0.0) AS seed, COALESCE(CASE k.kind WHEN 'trust' THEN s.trust ELSE s.distrust END, 0.0) AS r,
   EXISTS (SELECT 1 FROM f WHERE f.kind = k.kind AND f.source = a.host) AS flows
-  FROM (SELECT host FROM s UNION SELECT source FROM f) a CROSS JOIN (SELECT unnest(['trust', 'distrust']) AS kind) k LEFT JOIN s ON s.host = a.host),
+  FROM (SELECT host FROM s UNION SELECT source FROM f) a CROSS JOIN (SELECT unnest(['trust', 'distrust', 'reach']) AS kind) k LEFT JOIN s ON s.host = a.host),
 """
     for i in range(1, ROUNDS + 1):
-        sql += f"r{i} AS MATERIALIZED (SELECT r.kind, r.host, r.seed, {1 - DAMPING!r}::DOUBLE * r.seed + {DAMPING} * (COALESCE(g.got, 0.0) + CASE WHEN r.flows THEN 0.0 ELSE r.r END) AS r, r.flows FROM r{i - 1} r LEFT JOIN (SELECT f.kind, f.target AS host, SUM(f.share * q.r) AS got FROM f JOIN r{i - 1} q ON q.kind = f.kind AND q.host = f.source GROUP BY f.kind, f.target) g ON g.kind = r.kind AND g.host = r.host),\n"
-    return sql + f"""e AS (SELECT host, MAX(CASE WHEN kind = 'trust' THEN GREATEST(r, seed) END) AS t, MAX(CASE WHEN kind = 'distrust' THEN GREATEST(r, seed) END) AS d, SUM(seed) > 0 AS seeded FROM r{ROUNDS} GROUP BY host),
-v AS (SELECT host, CASE WHEN seeded THEN d - t > {THRESHOLD} ELSE d > {FLOOR} AND d > {THRESHOLD} * (d + t) END AS blocked FROM e)
+        sql += f"r{i} AS MATERIALIZED (SELECT r.kind, r.host, r.seed, CASE r.kind WHEN 'reach' THEN r.seed + (1 - r.seed) * {DAMPING} * COALESCE(g.got, 0.0) ELSE {1 - DAMPING!r}::DOUBLE * r.seed + {DAMPING} * (COALESCE(g.got, 0.0) + CASE WHEN r.flows THEN 0.0 ELSE r.r END) END AS r, r.flows FROM r{i - 1} r LEFT JOIN (SELECT f.kind, f.target AS host, SUM(f.share * q.r) AS got FROM f JOIN r{i - 1} q ON q.kind = f.kind AND q.host = f.source GROUP BY f.kind, f.target) g ON g.kind = r.kind AND g.host = r.host),\n"
+    return sql + f"""e AS (SELECT host, MAX(CASE WHEN kind = 'trust' THEN GREATEST(r, seed) END) AS t, MAX(CASE WHEN kind = 'distrust' THEN GREATEST(r, seed) END) AS d, MAX(CASE WHEN kind = 'reach' THEN r END) AS reach, SUM(seed) > 0 AS seeded FROM r{ROUNDS} GROUP BY host),
+v AS (SELECT host, CASE WHEN seeded THEN d - t > {THRESHOLD} ELSE reach > {REACH} AND d > {THRESHOLD} * (d + t) END AS blocked FROM e)
 SELECT p.page_id, p.host, p.path, p.rule, COALESCE(p.ruled, CASE WHEN v.blocked THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN v ON v.host = p.host"""
 
 

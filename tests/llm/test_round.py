@@ -134,7 +134,7 @@ def test_hot_buckets_tie_to_every_near_leader():
     assert all(any(i == m for m, _ in want) for i in np.flatnonzero(~leads))
 
 
-@pytest.mark.parametrize("linkers", [1, 2, 50])
+@pytest.mark.parametrize("linkers", [1, 2, 50, 1_000, 10_000])
 def test_linkers_of_a_blocked_host_are_blocked(spark, linkers):
     link = '<a href="https://bad.net/z">'
     pages = [(0, "http://bad.net/es/", ""), (1, "http://bad.net/about", ""), (2, "http://calm.org/", '<a href="https://good.com/">'), (3, "http://good.com/", "")]
@@ -171,3 +171,29 @@ def test_names_clash_whatever_their_case(spark):
     kept = contamination.clean(docs, bench)
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2, None]
     assert zlib.crc32(long.encode()) in {r["text_crc32"] for r in placed.collect()} and common.shared_folder(spark)
+
+
+def test_one_bad_link_among_many_is_no_evidence(spark):
+    """A directory, whose links are many hosts' and one a blocked one's; a chain that ends at a blocked host; SQL alike."""
+    import duckdb
+
+    page = lambda *hosts: "".join(f'<a href="http://{h}/">' for h in hosts)
+    many = [f"site{i}.org" for i in range(500)]
+    pages = [(1, "http://bad.net/es/", None), (2, "http://list.org/", page("bad.net", *many)), (3, "http://half.org/", page("bad.net", "site1.org")), (4, "http://near.org/", page("half.org"))]
+    pages += [(10 + i, f"http://chain{i}.org/", page(f"chain{i + 1}.org" if i < 40 else "bad.net")) for i in range(41)]
+    pages += [(100 + i, f"http://farm{i}.org/", page("bad.net")) for i in range(3_000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judged(df).collect()}
+    assert got[2] == "allow" and got[3] == got[4] == "block" and all(got[100 + i] == "block" for i in range(3_000))
+    # the first of the chain are further off than a walk goes
+    assert got[10] == "allow" and got[50] == got[45] == "block"
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert dict(con.sql(f"SELECT page_id, verdict FROM ({urlfilter.ORACLE})").fetchall()) == got
+
+
+def test_long_pages_and_urls(spark):
+    html = " filler" * 200_000 + '<a href="http://bad.net/">'
+    pages = [(1, "http://bad.net/es/", None), (2, "http://far.org/" + "x" * 100_000, html)]
+    got = {r["page_id"]: (r["verdict"], len(r["path"])) for r in urlfilter.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[2] == ("block", 100_001)
