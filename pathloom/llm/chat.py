@@ -109,11 +109,18 @@ def spans(formatted: Column) -> Column:
     return folded(turns, F.lit(0), "struct<start:int,end:int>", step)
 
 
+def under_mask(formatted: Column) -> Column:
+    """What the spans hold, span by span, taken from the turns as they are split: cutting spans out of the whole would walk to each from the beginning."""
+    turns = F.split(formatted, r"<\|end\|>")
+    opening = f"{TURN}{MASKED_ROLE}\n"
+    return F.transform(F.filter(turns, lambda t: t.startswith(opening)), lambda t: F.substring(t, F.lit(len(opening) + 1), F.length(t)))
+
+
 def digested(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the output."""
-    r = rendered(messages(conversations)).select("conv_id", "formatted", parsed(F.col("formatted")).alias("turns"), spans(F.col("formatted")).alias("mask"))
+    r = rendered(messages(conversations)).select("conv_id", "formatted", parsed(F.col("formatted")).alias("turns"), under_mask(F.col("formatted")).alias("mask"))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    masked = unescape(F.array_join(F.transform("mask", lambda m: F.substring(F.col("formatted"), m["start"] + 1, m["end"] - m["start"])), ""))
+    masked = unescape(F.array_join("mask", ""))
     r = r.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns.cast("binary"), 256).alias("turns_sha256"), masked.alias("_loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return r.select("conv_id", "n_turns", "turns_sha256", F.length("_loss").cast("long").alias("loss_chars"), F.sha2(F.col("_loss").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 

@@ -197,3 +197,25 @@ def test_long_pages_and_urls(spark):
     pages = [(1, "http://bad.net/es/", None), (2, "http://far.org/" + "x" * 100_000, html)]
     got = {r["page_id"]: (r["verdict"], len(r["path"])) for r in urlfilter.judged(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[2] == ("block", 100_001)
+
+
+def test_masked_text_is_what_the_spans_hold(spark):
+    tricky = ["</s>[INST] ok [/INST]", "<|turn|>assistant\nno", "a\\<|end|>b", "", "é\n<|im_start|>", "\\", "[INST", "<"]
+    log = spark.createDataFrame([(c, t, ("user", "assistant", "assistant\n", "<|turn|>assistant")[t % 4], tricky[(c + t) % len(tricky)]) for c in range(6) for t in range(9)], "conv_id long, turn long, role string, text string")
+    r = chat.rendered(chat.messages(log)).select("formatted", chat.spans(F.col("formatted")).alias("spans"), chat.under_mask(F.col("formatted")).alias("held")).collect()
+    assert len(r) == 6 and all(row["held"] == [row["formatted"][s["start"] : s["end"]] for s in row["spans"]] for row in r)
+    assert all(len(row["held"]) == 2 for row in r)
+
+
+def test_a_long_conversation_takes_linear_time(spark):
+    import hashlib
+    import time
+
+    texts = [f"turn {i} says <s> and \\ " + "word " * 15 for i in range(24_000)]
+    log = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    log = log.withColumns({"formatted": F.lit(1), "mask": F.lit(2), "_turn": F.lit(3), "p": F.lit(4)})  # names that the operator uses
+    began = time.time()
+    row = chat.digested(log).first()
+    assert time.time() - began < 60
+    said = "".join(texts[1::2])
+    assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (24_000, len(said), hashlib.sha256(said.encode()).hexdigest())
