@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import folded
+from .common import folded, picked
 
 TURN, END = "<|turn|>", "<|end|>"
 #: Strings that mark structure here or in other common templates; each starts with the only < or [ in it.
@@ -59,6 +59,7 @@ def messages(log: DataFrame, conv: str = "conv_id", seq: str = "turn", role: str
 
     Windows keep the fold spillable: no conversation is gathered as one value here.
     """
+    log = picked(log, *dict.fromkeys(c for c in (conv, seq, role, text, kind, ref) if c))
     s = F.col(seq).alias("_seq")
     kind_of, ref_of = F.col(kind) if kind else F.lit("message"), F.col(ref) if ref else F.lit(None)
     e = log.select(F.col(conv).alias("conv_id"), s, F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"), kind_of.alias("_kind"), ref_of.cast(log.select(s).schema["_seq"].dataType).alias("_ref"))
@@ -132,7 +133,7 @@ def with_tricky(conversations: DataFrame) -> DataFrame:
     """conversations and one more, -7, whose texts hold control strings of other templates."""
     spark = conversations.sparkSession
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"))
-    return conversations.select("conv_id", "turn", "role", "text").unionByName(more)
+    return picked(conversations, "conv_id", "turn", "role", "text").unionByName(more)
 
 
 ORACLE = r"""

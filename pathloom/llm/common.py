@@ -70,12 +70,26 @@ def id_remainder(id_col: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def _by_place(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """df with its columns as _0, _1, ... and the named ones, each found by its exact name if there is one, else whatever its case."""
+    folded = [c.lower() for c in df.columns]
+    at = [df.columns.index(n) if n in df.columns else folded.index(n.lower()) for n in names]
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), [F.col(f"_{i}").alias(n) for n, i in zip(names, at, strict=True)]
+
+
+def picked(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, whatever else df holds: names that differ in case, dots, backticks."""
+    plain, chosen = _by_place(df, *names)
+    return plain.select(*chosen)
+
+
 def apart(docs: DataFrame, *needed: str) -> DataFrame:
     """The columns of docs as _0, _1, ... and the needed ones under their own names too.
 
     Whatever names docs has, none clashes with what an operator adds; `restored` undoes it.
     """
-    return docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], *needed)
+    plain, chosen = _by_place(docs, *needed)
+    return plain.select("*", *chosen)
 
 
 def restored(df: DataFrame, docs: DataFrame, *more: str) -> DataFrame:

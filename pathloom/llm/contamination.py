@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, restored
+from .common import apart, picked, restored
 
 RATE = 0.2
 WALKS, SAMPLED = 32, 3
@@ -219,7 +219,7 @@ class Items:
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[list[tuple]]:
     """Items (id, words) in blocks of bounded size. The benchmark passes through the driver, and its words stay in broadcasts until the result is made: what is broadcast grows with the benchmark, not with the corpus."""
-    rows = benchmark.select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("words")).where("size(words) > 0")
+    rows = picked(benchmark, item_id, text).select(F.col(item_id).alias("item_id"), word_hashes(F.col(text)).alias("words")).where("size(words) > 0")
     block: list[tuple] = []
     words = 0
     for r in rows.toLocalIterator():
@@ -251,7 +251,7 @@ def with_hits(docs: DataFrame, block: list[tuple], text: str, rate: float, id_ty
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, start_word, end_word, edits for every document and item found in it."""
-    slim, found, id_type = docs.select("doc_id", "text"), None, benchmark.schema["item_id"].dataType.simpleString()
+    slim, found, id_type = picked(docs, "doc_id", "text"), None, benchmark.schema["item_id"].dataType.simpleString()
     for items in blocks(benchmark, "item_id", "text", block):
         hits = with_hits(slim, items, "text", rate, id_type).where("size(_hits) > 0").select("doc_id", F.explode("_hits").alias("h"))
         part = hits.select("doc_id", F.col("h.item").alias("item_id"), F.col("h.start").alias("start_word"), F.col("h.end").alias("end_word"), F.col("h.edits").alias("edits"))

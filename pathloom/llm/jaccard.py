@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, apart, components, fold_ascii, restored, rooted, settled, small_side, whole_groups
+from .common import WORD, apart, components, fold_ascii, picked, restored, rooted, settled, small_side, whole_groups
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 28, 6
@@ -261,7 +261,7 @@ def joined(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
 def links(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, component_id, n_links, kept (whether it is the one of its component that stays)."""
-    return joined(docs.select("doc_id", "text")).select("doc_id", "class_id", "component_id", "n_links", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return joined(picked(docs, "doc_id", "text")).select("doc_id", "class_id", "component_id", "n_links", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Components are told apart by their roots, not by ids, which may be null or repeated. A null id
     or one that is repeated with other texts loses no group.
     """
-    j = settled(joined(docs.select("doc_id", "text")).where("class IS NOT NULL"))
+    j = settled(joined(picked(docs, "doc_id", "text")).where("class IS NOT NULL"))
     # the row that stays of each component: rows of equal id and text count as one here
     stays = j.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("s"), F.count("*").alias("n"))
     stays = settled(stays.where("n > 1").select("root", F.col("s.doc_id").alias("_first"), F.col("s.h").alias("_least")))

@@ -28,8 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
-from .ranks import numbered, picked
+from .common import picked, settled
+from .ranks import numbered
 
 RUN, STEP = 3, 4
 BLOCK = RUN**STEP

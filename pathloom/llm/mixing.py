@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, apart, restored, settled, small_side
+from .common import WORD, apart, picked, restored, settled, small_side
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -116,7 +116,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 def taken(docs: DataFrame, **options) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, copies."""
-    p = planned(docs.select("doc_id", "text", "source"), **options)
+    p = planned(picked(docs, "doc_id", "text", "source"), **options)
     return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, rooted, settled, small_side, whole_groups
+from .common import components, picked, rooted, settled, small_side, whole_groups
 
 COSINE, RECALL = 0.9, 0.99
 SKETCH = 256
@@ -185,7 +185,7 @@ def compared(cosine: float):
 
 def joined(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors."""
-    v = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    v = picked(vectors, vec_id, embedding).select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     id_type = v.schema["vec_id"].dataType.simpleString()
     bits, tables = layout(v.count(), cosine, recall)
     most = most_differing(cosine)

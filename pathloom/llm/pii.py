@@ -34,7 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import picked
+from .common import picked
+
 
 KINDS = ("email", "ip", "card", "phone")
 #: A window and what of it is its own; the rest is context on either side.

@@ -36,9 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, small_side
+from .common import picked, settled, small_side
 from .merkle import CRC32
-from .ranks import picked
 
 KEY = 24
 #: Turns in one double array, but for a longer path, which has one of its own.

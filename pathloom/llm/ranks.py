@@ -11,14 +11,6 @@ from .common import settled, small_side
 FEW = 1_000_000
 
 
-def picked(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, each chosen by its exact name if there is one, whatever else df holds."""
-    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    folded = [c.lower() for c in df.columns]
-    at = {n: df.columns.index(n) if n in df.columns else folded.index(n.lower()) for n in names}
-    return plain.select(*[F.col(f"_{i}").alias(n) for n, i in at.items()])
-
-
 def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """rows with group_no (from 0, nulls first), pos (from 0 within its group) and width (rows of the group).
 

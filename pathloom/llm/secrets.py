@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import folded, settled
+from .common import folded, picked, settled
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs shorter than these never count, so the patterns can ask for the length at once.
@@ -173,7 +173,7 @@ def of_kind(column: str, number: int) -> Column:
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rate: float = FALSE_DISCOVERIES) -> DataFrame:
     """doc_id and spans: an array of (start, kind number, end), in order. One row a row of docs."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(
+    found = picked(docs, doc_id, text).select(
         F.col(doc_id).alias("doc_id"),
         F.filter(matches(whole, ASSIGN, 2), lambda m: F.length(m["token"]) >= 6).alias("assign"),
         matches(whole, ACCESS).alias("access"),

@@ -28,7 +28,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import apart, restored, settled, small_side
+from .common import apart, picked, restored, settled, small_side
 
 SHARDS = 16
 #: Hex digits by which a range is refined: 4096 ranges.
@@ -156,5 +156,5 @@ def shard(docs: DataFrame, shards: int = SHARDS, adding: tuple[str, ...] = ("siz
 
 def placed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row a document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    s = shard(docs.select("doc_id", "text"), shards)
+    s = shard(picked(docs, "doc_id", "text"), shards)
     return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, id_remainder, restored, settled, small_side
+from .common import apart, id_remainder, picked, restored, settled, small_side
 
 FIT_ROWS = 20_000
 FOLDS = 5
@@ -57,8 +57,8 @@ PRIOR, SPREAD = np.array([-4.0, 3.5, 2.0, 0.5, 0.3]), np.array([2.0, 1.5, 1.0, 1
 
 def training(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     """doc_id, text, toxic of labelled rows outside the held-out fold."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
-    kept = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(id_remainder("doc_id", folds) != 0)
+    known = picked(labels, "doc_id", "toxic").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
+    kept = picked(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(id_remainder("doc_id", folds) != 0)
     return kept.join(small_side(known, BROADCAST_LABELS), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
@@ -303,4 +303,4 @@ def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    return scored(docs.select("doc_id", "text"), labels, **options).select("doc_id", "held_out", "score", "predicted")
+    return scored(picked(docs, "doc_id", "text"), labels, **options).select("doc_id", "held_out", "score", "predicted")

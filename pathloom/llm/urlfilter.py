@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, settled, small_side
+from .common import fold_ascii, picked, settled, small_side
 
 #: (verdict, rule); the part of a rule before its first / is the host, the rest begins the path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -104,6 +104,7 @@ def blocked(threshold: float = THRESHOLD) -> Column:
 
 def judged(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, **walk) -> DataFrame:
     """page_id, host, path, rule, verdict for every row of pages (page_id, url, html)."""
+    pages = picked(pages, "page_id", "url", "html")
     host, path = parts(F.col("url"))
     p = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     p = p.withColumn("_r", ruled(F.col("host"), F.col("path"), rules))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.llm import chat, common, contamination, mixing, neardup, secrets, sharding, toxicity, urlfilter
+from pathloom.llm import chat, common, contamination, jaccard, lm, mixing, neardup, secrets, sharding, toxicity, urlfilter
 
 NOUNS = "account address archive balance branch buffer cache client cluster column config counter customer database device document engine error event factory folder handler header index invoice item job key layer ledger list loader manager market message metric module network node number object order owner package page parser partner payment plugin policy process product profile project queue quarter record region report request result river sales schema score server service session signal socket source stage status stream student summary system table target task template thread ticket token total tracker user value vector vendor version video window worker writer".split()
 
@@ -219,3 +219,27 @@ def test_a_long_conversation_takes_linear_time(spark):
     assert time.time() - began < 60
     said = "".join(texts[1::2])
     assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (24_000, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("more", [["Text", "TEXT", "Doc_Id"], ["a`b", "x.y", "`", "text`"], ["_0", "_1", "size", "class", "h", "words", "start"]], ids=["case", "quotes", "own names"])
+def test_names_of_other_columns_count_for_nothing(spark, more):
+    rows = [(1, "one two three four five six seven", "a"), (2, "one two three four five six seven", None), (3, None, "a"), (None, "token = abcdef123456 x", "b")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = plain.select(*[F.lit(i).alias(m) for i, m in enumerate(more)], "*")
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int").select("*", F.lit(0).alias("Toxic"))
+    bench = spark.createDataFrame([(1, "two three four five six seven")], "item_id long, text string").select("*", F.lit("x").alias("Text"))
+    both = lambda f: tuple(sorted((tuple(r) for r in f(d).collect()), key=str) for d in (docs, plain))
+    for f in (mixing.taken, sharding.placed, secrets.digested, jaccard.links, lm.scored, lambda d: contamination.leaks(d, bench), lambda d: toxicity.judged(d, labels)):
+        got, want = both(f)
+        assert got == want and len(want)
+    for f in (mixing.mix, jaccard.deduplicated, lambda d: contamination.clean(d, bench), lambda d: toxicity.accepted(d, labels), lambda d: sharding.shard(d, adding=("shard", "slot"))):
+        out = f(docs)
+        names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+        assert out.columns[: len(names)] == names
+        assert sorted((tuple(r)[len(more) :] for r in out.collect()), key=str) == sorted((tuple(r) for r in f(plain).collect()), key=str)
+    pages = spark.createDataFrame([(1, "http://x.net/es/", None), (2, "http://y.org/", '<a href="//x.net/">')], "page_id long, url string, html string").select("*", *[F.lit(i).alias(m) for i, m in enumerate(["URL", "Html", "host", "a`b"])])
+    assert {r["page_id"]: r["verdict"] for r in urlfilter.judged(pages).collect()} == {1: "block", 2: "block"}
+    log = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string").select("*", *[F.lit(i).alias(m) for i, m in enumerate(["Text", "ROLE", "a`b"])])
+    assert chat.digested(log).first()["n_turns"] == 1
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>").select("*", *[F.lit(i).alias(m) for i, m in enumerate(["VEC_ID", "class", "a`b"])])
+    assert [r["n_links"] for r in neardup.joined(vectors).collect()] == [1, 1]
