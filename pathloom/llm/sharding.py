@@ -10,7 +10,7 @@ with bounds on what it can't see inside a range, and only the ranges in which a
 summed again 4096 times finer, until the capacity is exact. The driver holds some ten thousand
 sums whatever the number of groups.
 
-Slots are numbered in cells, ranges of the order times salts of the id, so that no cell holds a
+Slots are numbered in cells, ranges of the order times salts of id and text, so that no cell holds a
 large group whole; cells grow in number with the rows, and beyond BROADCAST_CELLS their first slots
 are joined by a shuffle. Only rows that repeat both text and id share a cell whatever their number.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import apart, picked, restored, settled, small_side
@@ -133,6 +133,11 @@ def plan(measured_docs: DataFrame, shards: int = SHARDS) -> tuple[list[str], lis
     return alone, cut_keys(rest, shards - len(alone))
 
 
+def salt(salts: int) -> Column:
+    """Which part of its cell a row is in, by id and text: rows without an id are dealt by their texts."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "_key"), F.lit(salts)).cast("int")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, adding: tuple[str, ...] = ("size", "text_crc32", "shard", "slot")) -> DataFrame:
     """docs with size, text_crc32, shard and slot, or those named, slots being gapless from 0 in each shard."""
     m = measured(apart(docs, "doc_id", "text"))
@@ -144,8 +149,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, adding: tuple[str, ...] = ("siz
         number = number + F.when(F.col("_key") >= cut, 1).otherwise(0)
     for i, key in enumerate(alone):
         number = F.when(F.col("_key") == key, i).otherwise(number)
-    salt = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(salts)).cast("int")
-    cells = m.withColumns({"shard": number.cast("int"), "_cell": F.substring("_key", 1, CELL_DIGITS), "_salt": salt})
+    cells = m.withColumns({"shard": number.cast("int"), "_cell": F.substring("_key", 1, CELL_DIGITS), "_salt": salt(salts)})
     counts = cells.groupBy("shard", "_cell", "_salt").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_cell", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_cell", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -243,3 +243,13 @@ def test_names_of_other_columns_count_for_nothing(spark, more):
     assert chat.digested(log).first()["n_turns"] == 1
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01])], "vec_id long, embedding array<double>").select("*", *[F.lit(i).alias(m) for i, m in enumerate(["VEC_ID", "class", "a`b"])])
     assert [r["n_links"] for r in neardup.joined(vectors).collect()] == [1, 1]
+
+
+def test_rows_without_ids_are_dealt_by_their_texts(spark):
+    docs = spark.range(6_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 4_001).alias("text"))
+    m = sharding.measured(docs)
+    cells = m.groupBy(F.substring("_key", 1, 1).alias("c"), sharding.salt(16).alias("s")).agg(F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    assert cells.count() == 256 and cells.agg(F.max("n"), F.max("nulls")).first()[0] < 60
+    placed = sharding.placed(docs)
+    slots = placed.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("d"), F.max("slot").alias("high"))
+    assert slots.where("n <> d OR high <> n - 1").isEmpty() and placed.count() == 6_000
