@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,7 +144,7 @@ def perl_to_java(pattern: str, ignore_case: bool = False) -> str:
 def compiled(spark: SparkSession, java: str) -> str:
     """The pattern, once it is known to compile."""
     try:
-        spark.range(1).select(F.lit("").rlike(java)).collect()
-    except Exception as error:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(java)
+    except Py4JJavaError as error:
         raise PatternError(f"failed to compile regex: {java}") from error
     return java

@@ -48,7 +48,7 @@ def needed(query: str, options: Options) -> literals.Needed:
 def pruned(index: FileIndex, query: str, options: Options) -> DataFrame:
     """The manifest, or of a large one the blocks that can hold a match of a glob or regular expression."""
     use = options.prune if options.prune is not None else (index.files or 0) >= LARGE
-    if index.grams is None or not use or options.match is Match.EXACT:
+    if not use or options.match is Match.EXACT or index.grams is None:
         return index.manifest
     condition = trigrams.narrowed(index.grams, needed(query, options))
     return index.manifest if condition is None else index.manifest.where(condition)

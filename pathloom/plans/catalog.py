@@ -135,20 +135,36 @@ def committed(spark: SparkSession, path: str, change: Callable[[dict[str, dict]]
 
 @dataclass(frozen=True)
 class FileIndex:
-    """The tables that searches read, all of one snapshot."""
+    """The tables that searches read, all of one snapshot, each opened when it is first asked for."""
 
-    manifest: DataFrame
-    packages: DataFrame
-    state: DataFrame | None = None
-    by_package: DataFrame | None = None
-    grams: DataFrame | None = None
+    table: Callable[[str], DataFrame | None]
     pinned: Snapshot | None = None
     #: Repositories left out, with what is wrong with them.
     damaged: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def of(manifest: DataFrame) -> FileIndex:
-        return FileIndex(manifest, packages(manifest), by_package=manifest)
+        return FileIndex({"manifest": manifest, "packages": packages(manifest), "by_package": manifest}.get)
+
+    @cached_property
+    def manifest(self) -> DataFrame:
+        return self.table("manifest")
+
+    @cached_property
+    def packages(self) -> DataFrame:
+        return self.table("packages")
+
+    @cached_property
+    def by_package(self) -> DataFrame:
+        return self.table("by_package")
+
+    @cached_property
+    def grams(self) -> DataFrame | None:
+        return self.table("grams")
+
+    @cached_property
+    def state(self) -> DataFrame | None:
+        return self.table("state")
 
     @staticmethod
     def open(spark: SparkSession, path: str, number: int | None = None, check: bool = False) -> FileIndex:
@@ -171,9 +187,14 @@ class FileIndex:
             for repo, status in sorted(damaged.items()):
                 warnings.warn(f"{path}: repository {repo} is left out: {status}", Damaged, stacklevel=2)
         repos = {name: facts for name, facts in pinned.repos.items() if name not in damaged}
-        state = spark.createDataFrame([(f.get("source_mtime"), f.get("file_size"), f.get("format_version"), name) for name, f in repos.items() if f.get("source_mtime") is not None], STATE)
-        read = {name: _read(spark, path, name, repos) for name in TABLES}
-        return FileIndex(read["manifest"], read["packages"], state, read["by_package"], read["grams"], Snapshot(pinned.number, repos), damaged)
+
+        def table(name: str) -> DataFrame:
+            if name != "state":
+                return _read(spark, path, name, repos)
+            known = [(f["source_mtime"], f.get("file_size"), f.get("format_version"), repo) for repo, f in repos.items() if f.get("source_mtime") is not None]
+            return spark.createDataFrame(known, STATE)
+
+        return FileIndex(table, Snapshot(pinned.number, repos), damaged)
 
     @cached_property
     def files(self) -> int | None:
@@ -182,10 +203,13 @@ class FileIndex:
 
     def within(self, repo: str) -> FileIndex:
         """One repository's rows."""
-        only = F.col("repo") == repo
-        narrowed = [df if df is None else df.where(only) for df in (self.manifest, self.packages, self.state, self.by_package, self.grams)]
+
+        def table(name: str) -> DataFrame | None:
+            whole = getattr(self, name)
+            return None if whole is None else whole.where(F.col("repo") == repo)
+
         pinned = self.pinned and Snapshot(self.pinned.number, {n: r for n, r in self.pinned.repos.items() if n == repo})
-        return FileIndex(*narrowed, pinned, self.damaged)
+        return FileIndex(table, pinned, self.damaged)
 
 
 def _read(spark: SparkSession, path: str, name: str, repos: dict[str, dict], skip_corrupt: bool = False) -> DataFrame:
