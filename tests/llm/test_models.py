@@ -509,3 +509,50 @@ def test_queries_match_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     rows = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_each_context_has_its_own_restaurant(spark):
+    """Two words that a table of 65,535 contexts by hash would seat together keep what follows them apart."""
+    words = [f"x{i}" for i in range(3000)]
+    hashes = np.array([r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()], np.int64).view(np.uint64)
+    by_bin: dict[int, list[str]] = {}
+    for w, b in zip(words, (lm.mixed(hashes) % np.uint64(65_535)).tolist(), strict=True):
+        by_bin.setdefault(b, []).append(w)
+    a, b = next(ws for ws in by_bin.values() if len(ws) > 1)[:2]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    asked = dict(zip(held, (f"{a} p", f"{a} q", f"{b} q", f"{b} p"), strict=True))
+    rows = [(i, asked.get(i, f"{a} p" if i % 2 else f"{b} q")) for i in range(400)]
+    got = {r["doc_id"]: r["score"] for r in lm.scored(spark.createDataFrame(rows, DOCS)).where(F.col("doc_id").isin(held)).collect()}
+    assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[3]] + 1
+
+
+def test_contexts_are_summed_over_buckets(spark):
+    """Customers and tables of a context in all buckets, whether a code or a hash names it."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{int(rng.expovariate(0.02))}" for _ in range(40)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    hot, codes = lm.frequent_words(df)
+    codes = codes[::2]
+    tokens = common.settled(lm.tokenised(df, 20, hot, codes), dealt=True)
+    made = lm.swept(tokens, hot, codes, 5, 0, None, None)
+    first = lm.contexts_of(made)
+    again = lm.contexts_again(made.where("part >= 0"), first)
+    names = {r["h"]: r["w"] for r in spark.createDataFrame([(w,) for w in {w for t in texts for w in t.split()}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    pairs = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            pairs.update(zip(t.split(), [*t.split()[1:], None]))
+    customers, tables = Counter(), Counter(u for u, _ in pairs)
+    for (u, _), n in pairs.items():
+        customers[u] += n
+    sums, seen = {(r["bucket"], r["part"]): r for r in first.collect()}, set()
+    later = {(r["bucket"], r["part"]): r for r in again.collect()}
+    for r in made.where("part >= 0").collect():
+        mine = sums[r["bucket"], r["part"]]
+        got = lm.unpack(mine["data"], np.uint32)[0]
+        assert (lm.unpack(later[r["bucket"], r["part"]]["data"], np.uint32)[0] == got).all()
+        for h, c, t in zip(lm.unpack(r["more"], np.uint64, np.float64)[0], lm.unpack(mine["more"], np.float64)[0], got, strict=True):
+            if h != lm.START:
+                seen.add(w := names[int(h.view(np.int64))])
+                assert (c, t) == (customers[w], tables[w])
+    assert seen >= set(customers)
