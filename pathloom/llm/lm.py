@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, fold_ascii, id_remainder, let_go, picked, settled
+from .common import WORD, configured, fold_ascii, id_remainder, let_go, picked, settled
 
 FOLDS, HELD_OUT = 7, 2
 STRENGTH, PARENT_STRENGTH = 2.0, 2.0
@@ -528,10 +528,13 @@ def scored(docs: DataFrame, sweeps: int = SWEEPS, burn_in: int = BURN_IN, bucket
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     slim = picked(docs, "doc_id", "text")
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    hot, codes = frequent_words(slim)
+    in_batches = "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH)  # a task holds the words of no more
+    with configured(slim.sparkSession, *in_batches):
+        hot, codes = frequent_words(slim)
     buckets = max(8 * SPREAD, math.ceil(size / (bucket_bytes or bucket_size(size))))
     parts = math.ceil(buckets / SPREAD)
-    tokens = settled(tokenised(slim, buckets, hot, codes), dealt=True)
+    with configured(slim.sparkSession, *in_batches):
+        tokens = settled(tokenised(slim, buckets, hot, codes), dealt=True)
     let_go(docs.sparkSession)
     made = swept(tokens, hot, codes, parts, 0, None, None)
     first = contexts_of(made)

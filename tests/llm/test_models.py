@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -556,3 +557,23 @@ def test_contexts_are_summed_over_buckets(spark):
                 seen.add(w := names[int(h.view(np.int64))])
                 assert (c, t) == (customers[w], tables[w])
     assert seen >= set(customers)
+
+
+def test_memory_of_packing_a_batch():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    words = [(rng.zipf(1.3, 250) * 2_654_435_761 % 2**60).astype(np.int64) for _ in range(2000)]
+    tracemalloc.start()
+    rows = sum(1 for _ in lm.packed(np.zeros(2000, bool), words, 0, 40, np.empty(0, np.uint64)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 41 and peak < 45 * 2000 * 251
+
+
+def test_one_python_worker_a_task_scores_texts(spark, capsys):
+    """No Python node feeds another in the same stage: a task would need a worker for each."""
+    lm.scored(spark.createDataFrame([(i, f"a b c{i}") for i in range(20)], DOCS)).explain()
+    nodes = [n for n in re.findall(r"\b(Exchange|MapInArrow|MapInPandas|FlatMapCoGroupsInArrow|FlatMapGroupsInArrow)\b", capsys.readouterr().out)]
+    assert "FlatMapCoGroupsInArrow" in nodes
+    assert all("Exchange" in pair for pair in zip(nodes, nodes[1:]))
