@@ -83,6 +83,18 @@ def test_figures(spark):
     assert [r[0] for r in names] == [None] * 4
 
 
+def test_figures_round_as_c_does(spark):
+    values = [k / 256 for k in range(0, 3000, 7)] + [k / 4 for k in range(40)] + [k / 100 + d for k in range(5, 1000, 15) for d in (0, 1e-16, -1e-16)]
+    values += [0.5, 1.5, 2.5, 2.05, 1.005, 0.15, 9.995, 99.95, 2**-30, 5e-324, 1023.95, 2047.25, 2**45 + 0.25]
+    values += [-v for v in values if v]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", *[text.fixed(F.col("v"), d) for d in range(3)]).collect()
+    assert [tuple(r) for r in got] == [(v, f"{v:.0f}", f"{v:.1f}", f"{v:.2f}") for v, *_ in got]
+    n = spark.createDataFrame([(576 * 4096,), (704 * 4096,), (320 * 4096,), (4160 << 10,)], "n long")
+    assert [tuple(r) for r in n.select(text.humanized_total(F.col("n")), text.humanized_progress(F.col("n"))).collect()] == [("2.2 MiB", "2.2 MiB"), ("2.8 MiB", "2.8 MiB"), ("1280.0 KiB", "1.2 MiB"), ("4.1 MiB", "4.1 MiB")]
+    assert [r[0] for r in spark.createDataFrame([(1.125 * 1024,), (10.25 * 1024,), (2.5,), (300.5,)], "v double").select(text.rate(F.col("v"))).collect()] == ["1152B/s", "10.2K/s", "2.50B/s", "300B/s"]
+
+
 def test_padding_counts_bytes(spark):
     df = spark.createDataFrame([("é", 4)], "s string, w int")
     assert df.select(text.padded(F.col("s"), F.col("w"))).first()[0] == "é  "
