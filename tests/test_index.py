@@ -450,6 +450,48 @@ def test_a_failed_run_says_so(spark, watched, monkeypatch):
     assert [(r["status"], r["note"]) for r in jobs(spark, f"{watched}/index").collect()] == [("failed", "OSError: no space left")]
 
 
+def test_large_archives_take_several_commits(spark, tmp_path, monkeypatch):
+    from pathloom.plans.jobs import jobs
+
+    os.mkdir(tmp_path / "archives")
+    repos = [f"r{i}" for i in range(5)]
+    for repo in repos:
+        archive(tmp_path / f"archives/{repo}.files", SMALL)
+    (tmp_path / "archives/r3.files").write_bytes(b"\x1f\x8bno archive")
+    size = os.path.getsize(tmp_path / "archives/r0.files")
+    monkeypatch.setattr(refresh, "AT_ONCE", 2 * size)
+    assert refresh.shares([("b", size), ("c", size), ("a", 9 * size), ("d", size)]) == [["a"], ["b", "c"], ["d"]]
+    whole, written = refresh.write_repos, []
+
+    def write_repos(manifest, path, state):
+        written.append({r["repo"] for r in state.collect()})
+        if len(written) == 3:
+            raise OSError("no space left")
+        return whole(manifest, path, state)
+
+    monkeypatch.setattr(refresh, "write_repos", write_repos)
+    index = f"{tmp_path}/index"
+    with pytest.raises(OSError):
+        refresh.repack(spark, f"{tmp_path}/archives", index, repos)
+    assert written == [{"r0", "r1"}, {"r2"}, {"r4"}]
+    # what is current is done, and of the others each says what is wrong
+    assert {r["repo"]: r["note"] for r in jobs(spark, index).collect()} == {"r0": None, "r1": None, "r2": None, "r3": "BadGzipFile: Unknown compression method", "r4": "OSError: no space left"}
+    assert catalog.stored_repos(spark, index) == {"r0", "r1", "r2"}
+    assert not refresh.repack(spark, f"{tmp_path}/archives", index, repos)
+    assert catalog.stored_repos(spark, index) == {"r0", "r1", "r2", "r4"} and {f["files"] for f in catalog.snapshot(spark, index).repos.values()} == {6}
+
+
+def test_only_named_archives_are_opened(spark, tmp_path):
+    from pathloom.sources.archives import archive_contents
+
+    for name in ("plain", "odd[1]{a,b}*?\\", "a b+c", "other"):
+        archive(tmp_path / f"{name}.files", SMALL)
+    some = archive_contents(spark, str(tmp_path), ["plain", "odd[1]{a,b}*?\\", "a b+c", "none"])
+    assert sorted(r["repo"] for r in some.collect()) == ["a b+c", "odd[1]{a,b}*?\\", "plain"]
+    assert len(some.inputFiles()) == 3
+    assert archive_contents(spark, str(tmp_path)).count() == 4 and archive_contents(spark, str(tmp_path), ["none"]).count() == 0
+
+
 def test_archives_are_written_as_they_are_read(spark, testing, tmp_path):
     from pathloom.sources.archives import written
 

@@ -6,10 +6,11 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from pathloom.operators import inspection, listing, search
 from pathloom.options import Match, Options
-from pathloom.plans import catalog, statistics, trigrams
+from pathloom.plans import catalog, shuffles, statistics, trigrams
 from pathloom.plans.catalog import FileIndex, write_repos, write_version
 from pathloom.plans.manifest import with_names
 
@@ -227,3 +228,42 @@ def test_summary_reads_no_row(spark, path, monkeypatch):
     assert source["source_time"] == "1970-01-02 00:00:00 UTC" and source["source_size"] == "4.0 KiB" and source["files"] == 5
     assert inspection.total(index).first()["files"] == 8
     assert time.strptime(source["indexed"], "%Y-%m-%d %H:%M:%S UTC")
+
+
+def test_a_write_leaves_no_shuffle_files(spark, tmp_path):
+    def there():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before, at = there(), str(tmp_path / "index")
+    kept = spark.conf.get(shuffles.FREED, None)
+    write_repos(manifest(spark, [row for n in range(20) for row in one(f"r{n}", "x", files=50)]), at)
+    for _ in range(100):  # files go in the background
+        if not there() - before:
+            break
+        time.sleep(0.1)
+    assert not there() - before
+    assert spark.conf.get(shuffles.FREED, None) == kept and os.listdir(f"{at}/incoming") == []
+    # nor a Bloom filter of 1 MiB a file
+    assert sum(os.path.getsize(f) for f in glob.glob(f"{at}/packages/*/*/*.parquet")) < 20 * 10_000
+
+
+def test_the_setting_stays_until_the_last_has_ended(spark):
+    kept = spark.conf.get(shuffles.FREED, None)
+    first, second = shuffles.freed(spark), shuffles.freed(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(shuffles.FREED) == "true"
+    second.__exit__(None, None, None)
+    assert spark.conf.get(shuffles.FREED, None) == kept
+
+
+def test_counts_of_odd_paths(spark):
+    paths = ["/", "/usr/", "/usr", "/usr/bin/a", "/usr//bin/b", "/a//", "/a///", "//x", "/usr/bin/a/b/", "", "rel/x", "/p", "/é/ü", "/usr/bin/"]
+    m = manifest(spark, [("r", 0, "p", "1-1", i, p) for i, p in enumerate(paths)] + [("s", 1, "q", "2-1", 0, "/1/2/3/3/3"), ("s", 2, "q", "2-2", 0, "/1/2/3")])
+    nodes = statistics.path_nodes(m)
+    of = lambda df, *which: {r["repo"]: tuple(r)[1:] for r in df.groupBy("repo").agg(*which).collect()}
+    files, names = of(m, F.count_distinct("pkg_ord"), F.count("*")), of(statistics.basenames(m), F.count("*"), F.count_if("single"))
+    strings, paths = of(statistics.strings(m, nodes), F.count("*"), F.sum(F.octet_length("string"))), of(nodes, F.count("*"))
+    assert {r["repo"]: tuple(r)[1:] for r in statistics.by_repo(m).collect()} == {r: files[r] + names[r] + paths[r] + strings[r] for r in ("r", "s")}
